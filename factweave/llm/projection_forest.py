@@ -93,7 +93,7 @@ def fit_node(x: np.ndarray, tree: int, path: int, levels: int, spill: float = SP
     return splits
 
 
-def grow(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, levels: int = LEVELS, most_rounds: int = 12) -> DataFrame:
+def grow(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, levels: int = LEVELS, most_rounds: int = 8) -> DataFrame:
     """cls, tree, path: the leaves of each class in each tree."""
     spark = classes.sparkSession
     places = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("long").alias("path"))
@@ -122,14 +122,14 @@ def grow(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int =
         splits = write_table(drawn.groupBy("tree", "path").applyInArrow(fit, "tree int, path long, splits binary"), "splits")
 
         def send(batches):
-            memo: dict[bytes, dict] = {}
+            memo: dict[bytes | None, tuple] = {}
             for batch in batches:
                 out = ([], [], [])
                 for cls, tree, path, data, unit in zip(*(c.to_pylist() for c in batch.columns)):
                     if data not in memo:
                         if len(memo) > 256:
                             memo.clear()
-                        found = pickle.loads(data)
+                        found = pickle.loads(data) if data else {}  # no split: the node stays as it is
                         memo[data] = (found, {k: direction(tree, k, len(unit) // 8) for k in found})
                     found, ways = memo[data]
                     x, todo = np.frombuffer(unit, np.float64), [path]
@@ -144,7 +144,7 @@ def grow(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int =
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["cls", "tree", "path"])
 
         s = splits.withColumnsRenamed({"tree": "s_tree", "path": "s_path"})
-        routed = going.join(s, (F.col("tree") == F.col("s_tree")) & (F.col("path") == F.col("s_path"))).join(vectors, F.col("cls") == F.col("v_cls"))
+        routed = going.join(s, (F.col("tree") == F.col("s_tree")) & (F.col("path") == F.col("s_path")), "left").join(vectors, F.col("cls") == F.col("v_cls"))
         places = write_table(routed.select("cls", "tree", "path", "splits", "unit").mapInArrow(send, "cls long, tree int, path long"), "places")
     return write_table(done.unionByName(places), "leaves")
 
