@@ -318,7 +318,7 @@ def _leave(node: Node, out: Lines, state: dict | None, stack: list[list]) -> Non
         state["row"].extend([[""]] * (state["span"] - 1))
         return
     if tag in BLOCK:
-        out.line()
+        out.line(tag == "pre" and bool(out.now))
     if kind == "table":
         for line in _aligned(state["rows"]):
             out.now.append(line)
