@@ -41,7 +41,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def explore(relations: DataFrame, seeds: DataFrame, direction: str, depth: int) -> tuple[DataFrame, DataFrame]:
     """(edges touched within the depth, nodes with level and whether they are the frontier)."""
-    nodes = settled(bfs(directed(relations, direction), seeds, depth))
+    # written once, so that a level reads edges instead of deriving them anew
+    nodes = settled(bfs(settled(directed(relations, direction)), seeds, depth))
     inner = nodes.filter(F.col("level") < depth).select("node")
     sides = {"OUTGOING": ["from_ref"], "INCOMING": ["to_ref"], "BOTH": ["from_ref", "to_ref"]}[direction]
     found = [relations.join(inner, F.col(side) == F.col("node"), "left_semi") for side in sides]
@@ -110,8 +111,9 @@ def impact(certain: DataFrame, uncertain: DataFrame, seeds: DataFrame, depth: in
 
     Edges are (src, dst) from callee to caller. A certain path wins whatever its length.
     """
-    sure = settled(bfs(certain, seeds, depth))
-    any_ = bfs(certain.unionByName(uncertain).distinct(), seeds, depth)
+    edges = settled(certain.withColumn("sure", F.lit(True)).unionByName(uncertain.withColumn("sure", F.lit(False))).distinct())
+    sure = settled(bfs(edges.filter("sure").select("src", "dst"), seeds, depth))
+    any_ = bfs(edges.select("src", "dst"), seeds, depth)
     rest = any_.join(sure.select("node"), "node", "left_anti")
     return sure.withColumn("certain", F.lit(True)).unionByName(rest.withColumn("certain", F.lit(False)))
 

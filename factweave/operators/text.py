@@ -14,16 +14,16 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def exact_search(files: DataFrame, literal: str, around: int = 250) -> DataFrame:
-    """path, line_no, column, excerpt of each non-overlapping match; columns count from 1.
+    """path, line_no, col_no, excerpt of each non-overlapping match; columns count from 1.
 
     A line is cut at the matches; a match starts where the pieces before it, and the matches between, end.
     """
     rows = lines(files.filter(F.col("text").contains(literal))).filter(F.col("line").contains(literal))
     parts = F.split("line", re.escape(literal))
     before = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, p: a + F.length(p)) + (n - 1) * len(literal) + 1)
-    rows = rows.select("path", "line_no", "line", F.explode(before).alias("column"))
-    start = F.greatest(F.lit(1), F.col("column") - around)
-    return rows.select("path", "line_no", "column", F.substr(F.col("line"), start, F.col("column") - start + len(literal) + around).alias("excerpt"))
+    rows = rows.select("path", "line_no", "line", F.explode(before).alias("col_no"))
+    start = F.greatest(F.lit(1), F.col("col_no") - around)
+    return rows.select("path", "line_no", "col_no", F.substr(F.col("line"), start, F.col("col_no") - start + len(literal) + around).alias("excerpt"))
 
 
 def line_range(files: DataFrame, first: int, count: int) -> DataFrame:

@@ -168,7 +168,7 @@ def new_module_edges(spark, sf_dir):
     return G.new_edges(now, rows.filter(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp")), ["o_custkey", "b"])
 
 
-CYCLE_DATE = "1992-01-10"
+CYCLE_DATE = "1995-01-02"
 
 
 @query("new_cycles", f"""WITH RECURSIVE {NATION_CALLS}, e AS (SELECT DISTINCT a, b FROM nc WHERE o_orderdate < TIMESTAMP '{CYCLE_DATE}' AND a <> b),
@@ -296,8 +296,9 @@ def name_only(spark, sf_dir):
 
 
 @query("implemented_contracts", """WITH m AS (SELECT DISTINCT l_suppkey AS t, l_returnflag AS name, l_linestatus AS sig FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 45),
-  c AS (SELECT DISTINCT o_orderpriority AS contract, l_returnflag AS name, l_linestatus AS sig FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 40)
-  SELECT t AS type_ref, contract AS contract_ref FROM m JOIN c USING (name, sig) GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM c c2 WHERE c2.contract = contract_ref)""")
+  c AS (SELECT DISTINCT o_orderpriority AS contract, l_returnflag AS name, l_linestatus AS sig FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 40),
+  cw AS (SELECT *, count(*) OVER (PARTITION BY contract) AS wanted FROM c)
+  SELECT t AS type_ref, contract AS contract_ref FROM m JOIN cw USING (name, sig) GROUP BY 1, 2 HAVING count(*) = max(cw.wanted)""")
 def implemented(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     members = items.filter("l_discount > 0.09 and l_quantity > 45").select(F.col("l_suppkey").alias("type_ref"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("signature"))
