@@ -70,7 +70,7 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_candidates(rows: DataFrame, id_col: str, text_col: str, term: str) -> DataFrame:
-    """Ids whose texts have all trigrams of a term: postings joined with the term's, counted."""
+    """Ids whose texts have all trigrams of a term; only the term's own trigrams are looked for."""
     wanted = sorted({term.lower()[i : i + 3] for i in range(len(term) - 2)})
-    postings = rows.select(F.col(id_col), F.explode(trigrams(F.col(text_col))).alias("gram")).filter(F.col("gram").isin(wanted))
-    return postings.groupBy(id_col).agg(F.count("*").alias("grams")).filter(F.col("grams") == len(wanted))
+    grams = F.filter(F.array(*map(F.lit, wanted)), lambda g: F.lower(F.col(text_col)).contains(g))
+    return rows.select(F.col(id_col), F.size(grams).cast("long").alias("grams")).filter(F.col("grams") == len(wanted))

@@ -168,7 +168,7 @@ def new_module_edges(spark, sf_dir):
     return G.new_edges(now, rows.filter(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp")), ["o_custkey", "b"])
 
 
-CYCLE_DATE = "1995-01-02"
+CYCLE_DATE = "1995-01-05"
 
 
 @query("new_cycles", f"""WITH RECURSIVE {NATION_CALLS}, e AS (SELECT DISTINCT a, b FROM nc WHERE o_orderdate < TIMESTAMP '{CYCLE_DATE}' AND a <> b),
