@@ -77,6 +77,8 @@ def run_state(spark: SparkSession, stream: DataFrame, registry: str, checkpoint:
     Each row of the registry holds a digest's state after a batch; current() keeps the last one.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # else each of the many small stores sets megabytes of its logs aside beforehand
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator", "n_bytes")).alias("stays"), F.count("*").alias("n"))
 
     def sink(batch: DataFrame, number: int) -> None:
