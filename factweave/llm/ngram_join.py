@@ -43,7 +43,7 @@ def normalised(text: str | None) -> list[str]:
 
 def word_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
     """64-bit hashes of words, the same in every process."""
-    if len(memo) > 500_000:
+    if len(memo) > 150_000:
         memo.clear()
     out = []
     for w in words:

@@ -22,6 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, which holds a few copies of it.
+ARROW_BATCH = "8m"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
 
@@ -29,6 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back; its lineage ends there."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -44,6 +49,7 @@ def delete_table(df: DataFrame) -> None:
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
