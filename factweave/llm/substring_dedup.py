@@ -114,11 +114,10 @@ def _described(least_words: int, rows: int, bands: int):
 
 
 def _grams(batches):
-    """cls, cluster, grams of the paragraphs start to end of texts."""
+    """cls, cluster, grams of paragraphs."""
     memo: dict[str, int] = {}
     for batch in batches:
-        cls, cluster, start, end, text = (c.to_pylist() for c in batch.columns)
-        sets = [ngram_set(word_hashes(words_of(t[a:b])[0], memo)).tobytes() for t, a, b in zip(text, start, end)]
+        sets = [ngram_set(word_hashes(words_of(t)[0], memo)).tobytes() for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["cls", "cluster", "grams"])
 
 
@@ -133,7 +132,9 @@ def paragraph_spans(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     members = clusters.join(classes.select("cls", "first", "copies"), F.col("node") == F.col("cls")).select("cls", F.col("component").alias("cluster"), "first", "copies")
     members = write_table(members, "paragraph-members")
     wanted = members.select("cls", "cluster", F.col("first.doc_id").alias("w_id"), F.col("first.start").alias("start"), F.col("first.end").alias("end"))
-    texts = docs.join(wanted, F.col("doc_id") == F.col("w_id")).select("cls", "cluster", "start", "end", "text").filter("text is not null")
+    # only the paragraph goes to Python: a document with many would go there whole for each
+    paragraph = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("paragraph")
+    texts = docs.filter("text is not null").join(wanted, F.col("doc_id") == F.col("w_id")).select("cls", "cluster", paragraph)
     grams = texts.mapInArrow(_grams, "cls binary, cluster binary, grams binary")
     grams = grams.join(members.select(F.col("cls").alias("c"), "copies"), F.col("cls") == F.col("c")).drop("c")
     found = write_table(verify(grams), "paragraph-links")
