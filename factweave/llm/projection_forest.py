@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .ngram_join import roots
-from .shared import runs, write_table
+from .shared import delete_table, runs, write_table
 
 THRESHOLD = 0.95
 TREES = 10
@@ -56,19 +56,27 @@ def normalised(values) -> np.ndarray | None:
     return x / np.linalg.norm(x)
 
 
-def _unit(batches):
-    """vec_id, key, size, unit of vectors that can link."""
-    for batch in batches:
-        ids, keys, units, sizes = [], [], [], []
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = normalised(v)
-            if x is not None:
-                data = np.array(v, np.float64).tobytes()
-                ids.append(i)
-                keys.append(hashlib.blake2b(data, digest_size=16).digest())
-                units.append(x.tobytes())
-                sizes.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "key", "size", "unit"])
+def _able(kind: str):
+    def apply(batches):
+        """vec_id, key, size, vector (as it is, in bytes) of vectors that can link."""
+        for batch in batches:
+            ids, keys, vectors, sizes = [], [], [], []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if normalised(v) is not None:
+                    ids.append(i)
+                    keys.append(hashlib.blake2b(np.array(v, np.float64).tobytes(), digest_size=16).digest())
+                    vectors.append(np.array(v, kind).tobytes())
+                    sizes.append(len(v))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(vectors, pa.binary())], ["vec_id", "key", "size", "vector"])
+
+    return apply
+
+
+def units(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Rows of length 1 in double precision of vectors that can link."""
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def direction(tree: int, path: int, size: int) -> np.ndarray:
@@ -93,14 +101,14 @@ def fit_node(x: np.ndarray, tree: int, path: int, levels: int, spill: float = SP
     return splits
 
 
-def grow(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, levels: int = LEVELS, most_rounds: int = 8) -> DataFrame:
+def grow(classes: DataFrame, kind: str = "<f8", trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, levels: int = LEVELS, most_rounds: int = 8) -> DataFrame:
     """cls, tree, path: the leaves of each class in each tree."""
-    spark = classes.sparkSession
     places = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("long").alias("path"))
-    done = None
-    vectors = classes.select(F.col("cls").alias("v_cls"), "unit")
+    done = past = None
+    vectors = classes.select(F.col("cls").alias("v_cls"), "vector")
     for round_ in range(most_rounds):
-        counts = write_table(places.groupBy("tree", "path").agg(F.count("*").alias("n")), "node-sizes").filter(F.col("n") > leaf)
+        sizes = write_table(places.groupBy("tree", "path").agg(F.count("*").alias("n")), "node-sizes")
+        counts = sizes.filter(F.col("n") > leaf)
         big = counts.select(F.col("tree").alias("b_tree"), F.col("path").alias("b_path"), "n")
         placed = places.join(big, (F.col("tree") == F.col("b_tree")) & (F.col("path") == F.col("b_path")), "left")
         ended = placed.filter("n is null").select("cls", "tree", "path")
@@ -109,13 +117,17 @@ def grow(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int =
             return write_table(done, "leaves")
         going = write_table(placed.filter("n is not null").select("cls", "tree", "path", "n"), "going")
         done = write_table(done, "leaves")
+        delete_table(sizes)
+        if past is not None:
+            delete_table(places)
+            delete_table(past)
         chance = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
         drawn = going.filter(F.pmod(F.xxhash64("cls", "tree", F.lit(round_)), F.lit(1 << 30)) < chance * (1 << 30))
-        drawn = drawn.join(vectors, F.col("cls") == F.col("v_cls")).select("tree", "path", "n", "unit")
+        drawn = drawn.join(vectors, F.col("cls") == F.col("v_cls")).select("tree", "path", "n", "vector")
 
         def fit(table: pa.Table) -> pa.Table:  # about `sample` rows of one node
             tree, path, n = (table.column(k)[0].as_py() for k in range(3))
-            x = np.stack([np.frombuffer(v, np.float64) for v in sorted(table.column(3).to_pylist())])
+            x = units(sorted(table.column(3).to_pylist()), kind)
             deep = max(1, min(levels, int(np.ceil(np.log2(n / leaf)))))
             return pa.table({"tree": pa.array([tree], pa.int32()), "path": pa.array([path], pa.int64()), "splits": pa.array([pickle.dumps(fit_node(x, tree, path, deep))], pa.binary())})
 
@@ -125,14 +137,17 @@ def grow(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int =
             memo: dict[bytes | None, tuple] = {}
             for batch in batches:
                 out = ([], [], [])
-                for cls, tree, path, data, unit in zip(*(c.to_pylist() for c in batch.columns)):
+                if not batch.num_rows:
+                    continue
+                rows = units(batch.column(4).to_pylist(), kind)
+                for x, cls, tree, path, data in zip(rows, *(c.to_pylist() for c in batch.columns[:4])):
                     if data not in memo:
                         if len(memo) > 256:
                             memo.clear()
                         found = pickle.loads(data) if data else {}  # no split: the node stays as it is
-                        memo[data] = (found, {k: direction(tree, k, len(unit) // 8) for k in found})
+                        memo[data] = (found, {k: direction(tree, k, len(x)) for k in found})
                     found, ways = memo[data]
-                    x, todo = np.frombuffer(unit, np.float64), [path]
+                    todo = [path]
                     while todo:
                         node = todo.pop()
                         if node in found:
@@ -144,24 +159,28 @@ def grow(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int =
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["cls", "tree", "path"])
 
         s = splits.withColumnsRenamed({"tree": "s_tree", "path": "s_path"})
-        routed = going.join(s, (F.col("tree") == F.col("s_tree")) & (F.col("path") == F.col("s_path")), "left").join(vectors, F.col("cls") == F.col("v_cls"))
-        places = write_table(routed.select("cls", "tree", "path", "splits", "unit").mapInArrow(send, "cls long, tree int, path long"), "places")
+        # splits last: a node's splits are larger than a vector and would be shuffled with each row
+        routed = going.join(vectors, F.col("cls") == F.col("v_cls")).join(s, (F.col("tree") == F.col("s_tree")) & (F.col("path") == F.col("s_path")), "left")
+        places = write_table(routed.select("cls", "tree", "path", "splits", "vector").mapInArrow(send, "cls long, tree int, path long"), "places")
+        delete_table(going)
+        delete_table(splits)
+        past = done
     return write_table(done.unionByName(places), "leaves")
 
 
-def compare(classes: DataFrame, leaves: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def compare(classes: DataFrame, leaves: DataFrame, kind: str = "<f8", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """cls, links, root: links of each class found first in a leaf, counting copies, and its component there."""
     listed = leaves.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("tree", "path"))).alias("leaves"))  # a few for each tree
-    full = classes.join(listed.withColumnRenamed("cls", "l_cls"), F.col("cls") == F.col("l_cls")).select("cls", "copies", "unit", "leaves")
-    full = write_table(full.withColumn("codes", F.transform("leaves", lambda s: F.shiftleft(s["path"], 8).bitwiseOR(s["tree"].cast("long")))), "vectors")
-    rows = full.select("cls", "copies", "unit", "codes", F.explode("codes").alias("leaf"))
+    full = classes.join(listed.withColumnRenamed("cls", "l_cls"), F.col("cls") == F.col("l_cls")).select("cls", "copies", "vector", "leaves")
+    full = full.withColumn("codes", F.transform("leaves", lambda s: F.shiftleft(s["path"], 8).bitwiseOR(s["tree"].cast("long"))))
+    rows = full.select("cls", "copies", "vector", "codes", F.explode("codes").alias("leaf"))
     sizes = leaves.groupBy(F.shiftleft("path", 8).bitwiseOR(F.col("tree").cast("long")).alias("s_leaf")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = write_table(sizes, "leaf-sizes")
     dealt = rows.join(sizes, F.col("leaf") == F.col("s_leaf")).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
     task = ["leaf", "lo", "hi"]
-    dealt = dealt.select(*task, "cls", "copies", "mine", "unit", "codes").repartition(*task).sortWithinPartitions(*task, "cls")
+    dealt = dealt.select(*task, "cls", "copies", "mine", "vector", "codes").repartition(*task).sortWithinPartitions(*task, "cls")
 
     def apply(batches):
         for (leaf, lo, hi), slices in runs(batches, task):
@@ -172,7 +191,7 @@ def compare(classes: DataFrame, leaves: DataFrame, threshold: float = THRESHOLD,
             right = left if lo == hi else np.flatnonzero(mine == hi)
             if not len(left) or not len(right) or (lo == hi and len(left) < 2):
                 continue
-            x = np.stack([np.frombuffer(u, np.float64) for u in column["unit"]])
+            x = units(column["vector"], kind)
             found = x[left] @ x[right].T >= threshold
             if lo == hi:
                 np.fill_diagonal(found, False)
@@ -198,22 +217,28 @@ def compare(classes: DataFrame, leaves: DataFrame, threshold: float = THRESHOLD,
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """One row for each row of df: vec_id, n_links, component_id, kept."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    units = write_table(rows.mapInArrow(_unit, "vec_id long, key binary, size int, unit binary"), "units")
-    common = units.groupBy("size").count().orderBy(F.desc("count"), "size").select("size").first()
+    element = df.schema[vector_col].dataType.elementType
+    kind = "<f4" if element.typeName() == "float" else "<f8"
+    able = write_table(rows.mapInArrow(_able(kind), "vec_id long, key binary, size int, vector binary"), "able")
+    common = able.groupBy("size").count().orderBy(F.desc("count"), "size").select("size").first()
     size = common["size"] if common else 0
-    units = units.filter(F.col("size") == size)
-    classes = units.groupBy("key").agg(F.min(F.struct("vec_id", "unit")).alias("s"), F.count("*").alias("copies"))
-    classes = write_table(classes.select("key", F.col("s.vec_id").alias("cls"), F.col("s.unit").alias("unit"), "copies"), "vector-classes")
-    able = classes.filter("cls is not null")
-    found = write_table(compare(able, grow(able, trees, leaf), threshold), "vector-links")
+    able_now = able.filter(F.col("size") == size)
+    classes = able_now.groupBy("key").agg(F.min(F.struct("vec_id", "vector")).alias("s"), F.count("*").alias("copies"))
+    classes = write_table(classes.select("key", F.col("s.vec_id").alias("cls"), F.col("s.vector").alias("vector"), "copies"), "vector-classes")
+    members = write_table(able_now.select("vec_id", "key"), "vector-members")
+    delete_table(able)
+    linking = classes.filter("cls is not null")
+    leaves = grow(linking, kind, trees, leaf)
+    found = write_table(compare(linking, leaves, kind, threshold), "vector-links")
+    delete_table(leaves)
     linked = found.groupBy("cls").agg(F.sum("links").alias("links")).withColumnRenamed("cls", "l_cls")
     joined = write_table(components(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))), "vector-joined")
     of_class = classes.join(linked, F.col("cls") == F.col("l_cls"), "left").join(joined, F.col("cls") == F.col("node"), "left").select(
         F.col("key").alias("c_key"), F.coalesce("component", "cls").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     of_class = write_table(of_class, "vector-results")
-    linking = units.select(F.col("vec_id").alias("u_id"), "key").join(of_class, F.col("key") == F.col("c_key")).select(F.col("u_id").alias("vec_id"), "n_links", "component_id")
-    ids = units.select(F.col("vec_id").alias("u_id")).distinct()
+    linking = members.select(F.col("vec_id").alias("u_id"), "key").join(of_class, F.col("key") == F.col("c_key")).select(F.col("u_id").alias("vec_id"), "n_links", "component_id")
+    ids = members.select(F.col("vec_id").alias("u_id")).distinct()
     alone = rows.select("vec_id").join(ids, F.col("vec_id").eqNullSafe(F.col("u_id")), "left_anti")
     alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linking.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
