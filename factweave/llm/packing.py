@@ -36,14 +36,15 @@ WINDOW = 64 * LENGTH
 CELLS = 512
 #: Windows of a block.
 BLOCK = 1024
-MEMO = 300_000
+MEMO = 600_000
 
 
 class Tokens:
     """Ids of whole texts by a tokenizers file, through memoised chunks.
 
     A byte-level split never joins a word to a space that follows it, so a text is cut before runs
-    of spaces and line ends that follow another character. Texts with other white space, or with a
+    of spaces and line ends that follow another character. Nor does it join letters or digits to a
+    punctuation mark that follows them: a run of them is cut off there. Texts with other white space, or with a
     special token's string, are encoded as a whole.
     """
 
@@ -53,7 +54,8 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"[^\S \n]", *map(re.escape, special)])).search
-        self.chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
+        letters = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+        self.chunks = re.compile(rf"[ \n]*[{letters}]++(?=[!-/:-@\[-`{{-~])|[ \n]*[^ \n]+|[ \n]+").findall
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
