@@ -285,11 +285,11 @@ def unchecked_edits(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count("*").alias("edits"))
 
 
-@query("compile_breaks_multiset", """WITH n AS (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id, event_type FROM events WHERE event_id % 2 = 1)
+@query("compile_breaks_multiset", """WITH n AS (SELECT user_id, event_type FROM events WHERE day(ts) > 15), b AS (SELECT user_id, event_type FROM events WHERE day(ts) <= 15)
   SELECT user_id, event_type, count(*) AS times FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM b) GROUP BY 1, 2""")
 def compile_breaks(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return V.multiset_difference(e.filter("event_id % 2 = 0").select("user_id", "event_type"), e.filter("event_id % 2 = 1").select("user_id", "event_type"))
+    return V.multiset_difference(e.filter("day(ts) > 15").select("user_id", "event_type"), e.filter("day(ts) <= 15").select("user_id", "event_type"))
 
 
 # --- similarity and routes
@@ -319,7 +319,7 @@ def route_fit(spark, sf_dir):
     """Closest routes, mounted below /api/v1 with a number for a parameter, of each requested path."""
     pages = table(spark, sf_dir, "pages")
     links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"?#]*)'), F.lit(1))).alias("link"))
-    routes = links.filter("page_id % 2 = 0").select(F.concat(F.lit("/api/v1"), F.col("link"), F.lit("/:id")).alias("route")).distinct().withColumn("segs", R.segments(F.col("route")))
+    routes = links.select(F.concat(F.lit("/api/v1"), F.col("link"), F.lit("/:id")).alias("route")).distinct().withColumn("segs", R.segments(F.col("route")))
     requests = links.select(F.concat("link", F.lit("/"), (F.col("page_id") % 5).cast("string")).alias("request")).distinct().withColumn("segs", R.segments(F.col("request")))
     return R.closest(R.fitting(requests, routes))
 

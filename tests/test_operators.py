@@ -77,3 +77,57 @@ def test_route_fit(spark):
     routes = spark.createDataFrame([("/api/v1/feeds/:id",), ("/other/:id",)], "route string").withColumn("segs", R.segments(F.col("route")))
     asked = spark.createDataFrame([("/feeds/7",), ("/nothing/7",)], "request string").withColumn("segs", R.segments(F.col("request")))
     assert [(r.request, r.route, r.extras) for r in R.fitting(asked, routes).collect()] == [("/feeds/7", "/api/v1/feeds/:id", 2)]
+
+
+def test_diff_hunks_keep_removed_lines_that_look_like_headers(spark):
+    from factweave.operators.changes import diff_hunks
+
+    diff = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -3,2 +3 @@ f\n--- a comment\n-two\n+new\n@@ -9,0 +9,2 @@\n+p\n+q\ndiff --git a/y b/y\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@\n-z"
+    new = "--- /dev/null\n+++ b/n\n@@ -0,0 +1 @@\n+n"
+    rows = diff_hunks(spark.createDataFrame([(1, diff), (2, None), (3, ""), (4, new)], "k int, diff string"), "k").collect()
+    assert sorted(tuple(r) for r in rows) == [
+        (1, "x", "CHANGED", 3, 2, 3, 1, ["-- a comment", "two"]),
+        (1, "x", "CHANGED", 9, 0, 9, 2, []),
+        (1, "y", "DELETED", 1, 1, 0, 0, ["z"]),
+        (4, "n", "ADDED", 0, 0, 1, 1, []),
+    ]
+
+
+def test_keeps_sequence(spark):
+    from pyspark.sql import functions as F
+
+    from factweave.operators.changes import keeps_sequence
+
+    rows = spark.createDataFrame([(list("abc"), list("axbyc"), True), (list("abc"), list("acb"), False), ([], list("a"), True), (list("aa"), list("a"), False)], "old array<string>, new array<string>, want boolean")
+    assert rows.filter(keeps_sequence(F.col("old"), F.col("new")) != F.col("want")).count() == 0
+
+
+def test_replay_closure_follows_shared_files(spark):
+    from factweave.operators.changes import replay_closure
+
+    reads = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 2), ("d", 3), ("e", None), ("f", None)], "context string, file int")
+    found = replay_closure(reads, spark.createDataFrame([("a",), ("e",)], "context string"))
+    assert {tuple(r) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 2), ("e", 0)}
+
+
+def test_store_publishes_whole_versions_and_retains_some(spark, tmp_path):
+    from factweave.sources import store
+
+    folder = f"file://{tmp_path}/store"
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k int, v string")
+    assert sorted(map(tuple, store.publish(df, folder, "1").collect()), key=repr) == sorted([(1, "a"), (2, None), (2, None)], key=repr)
+    store.publish(df.limit(0), folder, "2")
+    assert store.publish(df, folder, "2").count() == 0
+    assert store.versions(spark, folder) == ["1", "2"]
+    assert store.retain(spark, folder, {"2"}) == ["1"]
+    assert store.versions(spark, folder) == ["2"]
+
+
+def test_ledger_of_a_folder_of_files(spark, tmp_path):
+    from factweave.streaming.ledger import kept_current, last_checks
+
+    rows = [(i, f"2024-01-0{1 + i % 5} 00:00:00", i % 3, ("click", "purchase", "view")[i % 4 % 3]) for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", __import__("pyspark.sql.functions", fromlist=["x"]).to_timestamp("ts"))
+    events.repartition(70).write.parquet(f"{tmp_path}/events.parquet")
+    got = kept_current(spark, f"file://{tmp_path}/events.parquet")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, last_checks(events).collect()))
