@@ -66,7 +66,7 @@ def replay_closure(reads: DataFrame, changed: DataFrame, most_rounds: int = 60)
 
     reads: context, file; changed: context. Each round joins only the contexts and files that the last one found.
     """
-    reads = reads.select("context", "file").distinct()
+    reads = settled(reads.select("context", "file").distinct())
     found = settled(changed.select("context").distinct().withColumn("round", F.lit(0)))
     files, fresh = None, found
     for n in range(1, most_rounds + 1):

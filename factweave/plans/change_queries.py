@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F, Window
 
 from factweave.functions import paths as P
-from factweave.operators import changes as C, routes as R
+from factweave.operators import changes as C
 from factweave.plans.graph_queries import facts_sql
-from factweave.plans.text_queries import FILES, ROUTE_SQL, TEST_SQL, files
+from factweave.plans.text_queries import FILES, TEST_SQL, files
 from factweave.sources import store
 from factweave.sources.driver_tables import fact_graph, table
 from factweave.streaming import ledger
@@ -53,11 +53,11 @@ def existing_tests_changed(spark, sf_dir):
 
 
 @query("replay_closure", """WITH RECURSIVE reads AS (SELECT DISTINCT c_custkey AS context, p_brand || '/' || p_type AS file
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND o_orderpriority = '1-URGENT'),
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND o_orderpriority = '1-URGENT'),
   c(context) AS (SELECT min(context) FROM reads UNION SELECT b.context FROM c JOIN reads a ON a.context = c.context JOIN reads b ON a.file = b.file)
   SELECT context FROM c WHERE context IS NOT NULL""")
 def replay_closure(spark, sf_dir):
-    big = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50").join(table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"))
+    big = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").join(table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"))
     reads = big.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     reads = reads.select(F.col("c_custkey").alias("context"), F.concat_ws("/", "p_brand", "p_type").alias("file"))
     return C.replay_closure(reads, reads.agg(F.min("context").alias("context")).filter("context is not null")).select("context")
@@ -94,25 +94,33 @@ def still_used_removed(spark, sf_dir):
     return used.join(removed, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_partkey").agg(F.count("*").alias("uses"), F.min("o_orderkey").alias("first_user"))
 
 
-@query("broken_template_links", f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"?#]*)', 1)) AS link FROM pages), b AS (SELECT DISTINCT {ROUTE_SQL} AS link FROM pages),
-  n AS (SELECT DISTINCT {ROUTE_SQL} AS link FROM pages WHERE NOT contains(url, '?'))
-  SELECT link, count(*) AS broken FROM l WHERE link IN (SELECT link FROM b WHERE link IS NOT NULL) AND link NOT IN (SELECT link FROM n WHERE link IS NOT NULL) GROUP BY 1""")
+NAMES_SQL = """l AS (SELECT page_id, lower(unnest(regexp_extract_all(html, 'href="/([a-zA-Z]+)"', 1))) AS name FROM pages),
+  d AS (SELECT name, bool_or(role = 'user') AS now FROM (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM conversations) GROUP BY 1)"""
+
+
+def linked_names(spark, sf_dir):
+    names = F.explode(F.regexp_extract_all("html", F.lit('href="/([a-zA-Z]+)"'), F.lit(1)))
+    return table(spark, sf_dir, "pages").select("page_id", names.alias("link")).select("page_id", F.lower("link").alias("name"))
+
+
+def declared_names(spark, sf_dir):
+    """Words of conversations as names, and whether the later version (the user's turns) has them too."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
+    return table(spark, sf_dir, "conversations").select("role", words.alias("name")).groupBy("name").agg(F.bool_or(F.col("role") == "user").alias("now"))
+
+
+@query("broken_template_links", f"WITH {NAMES_SQL} SELECT name, count(*) AS broken FROM l JOIN d USING (name) WHERE NOT now GROUP BY 1")
 def broken_template_links(spark, sf_dir):
-    """Links that resolved while routes with a query were there, and do not now."""
-    pages = table(spark, sf_dir, "pages")
-    links = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"?#]*)'), F.lit(1))).alias("link"))
-    routes = pages.select(R.path_of(F.col("url")).alias("link"), (~F.contains("url", F.lit("?"))).alias("now")).groupBy("link").agg(F.bool_or("now").alias("now"))
-    return links.join(routes.filter("not now"), "link", "left_semi").groupBy("link").agg(F.count("*").alias("broken"))
+    """Links to names that the base declares and that the later version does not."""
+    gone = declared_names(spark, sf_dir).filter("not now")
+    return linked_names(spark, sf_dir).join(gone, "name", "left_semi").groupBy("name").agg(F.count("*").alias("broken"))
 
 
-@query("missing_packages", """WITH h AS (SELECT page_id, unnest(regexp_extract_all(lower(html), 'https?://([a-z0-9.-]+)', 1)) AS host FROM pages)
-  SELECT host, count(*) AS uses, count(DISTINCT page_id) AS pages FROM h WHERE host NOT IN (SELECT lower(regexp_extract(url, '^https?://([a-zA-Z0-9.-]+)', 1)) FROM pages WHERE url IS NOT NULL) GROUP BY 1""")
+@query("missing_packages", f"WITH {NAMES_SQL} SELECT name, count(*) AS uses, count(DISTINCT page_id) AS pages FROM l ANTI JOIN d USING (name) GROUP BY 1")
 def missing_packages(spark, sf_dir):
-    """Hosts that pages name and that no page comes from."""
-    pages = table(spark, sf_dir, "pages")
-    named = pages.select("page_id", F.explode(F.regexp_extract_all(F.lower("html"), F.lit("https?://([a-z0-9.-]+)"), F.lit(1))).alias("host"))
-    known = pages.select(F.lower(F.regexp_extract("url", "^https?://([a-zA-Z0-9.-]+)", 1)).alias("host")).distinct()
-    return named.join(known, "host", "left_anti").groupBy("host").agg(F.count("*").alias("uses"), F.countDistinct("page_id").alias("pages"))
+    """Names that pages link to and that nothing declares."""
+    used = linked_names(spark, sf_dir).join(declared_names(spark, sf_dir), "name", "left_anti")
+    return used.groupBy("name").agg(F.count("*").alias("uses"), F.countDistinct("page_id").alias("pages"))
 
 
 # --- references and views
