@@ -2,9 +2,12 @@
 
 Each of TREES trees splits vectors recursively at the median of a random projection until a leaf
 has LEAF vectors at most. Vectors near a split go to both sides (spill), so that neighbours seldom
-part. Splits are fitted for each node on about SAMPLE vectors drawn by hash, several levels at a
-time, in as many rounds as the table needs; all vectors are routed. A leaf that cannot be split
-further is compared in pairs of blocks, so nothing is capped.
+part. The band of these is the middle 2 * SPILL of the node, and at least as wide as the spread of
+the projected distance of a pair at the threshold, however tight the node is. A node of which the
+band would hold more than MOST_SPILL is split no further. Splits are fitted for each node on about
+SAMPLE vectors drawn by hash, several levels at a time, in as many rounds as the table needs; all
+vectors are routed. A leaf that is not split further is compared in pairs of blocks, so nothing is
+capped.
 
 Within leaves all pairs are compared by cosine in double precision. A pair that shares several
 leaves counts in the first of them only, which each task sees from the vectors' own lists of
@@ -34,6 +37,9 @@ THRESHOLD = 0.95
 TREES = 10
 LEAF = 256
 SPILL = 0.06
+MOST_SPILL = 0.3
+#: So many found pairs in a task are looked up one by one at most.
+FEW_PAIRS = 20_000
 SAMPLE = 4096
 #: Levels of a tree that one round fits at most.
 LEVELS = 6
@@ -84,9 +90,10 @@ def direction(tree: int, path: int, size: int) -> np.ndarray:
     return np.random.default_rng([17, tree, path]).standard_normal(size)
 
 
-def fit_node(x: np.ndarray, tree: int, path: int, levels: int, spill: float = SPILL) -> dict[int, tuple[float, float, float]]:
-    """Median and spill bounds of the nodes below a path, from a sample of its vectors."""
-    splits = {}
+def fit_node(x: np.ndarray, tree: int, path: int, levels: int, spill: float = SPILL, threshold: float = THRESHOLD) -> dict[int, tuple[float, float, float] | None]:
+    """Median and spill bounds of the nodes below a path, from a sample of its vectors; None where a node stays whole."""
+    splits: dict[int, tuple[float, float, float] | None] = {}
+    half = np.sqrt(max(0.0, 2 - 2 * threshold)) / 2  # of the distance of a pair at the threshold
     todo = [(path, x, levels)]
     while todo:
         node, rows, left = todo.pop()
@@ -94,17 +101,35 @@ def fit_node(x: np.ndarray, tree: int, path: int, levels: int, spill: float = SP
             continue
         p = rows @ direction(tree, node, x.shape[1])
         low, middle, high = np.quantile(p, [0.5 - spill, 0.5, 0.5 + spill])
-        if p.min() == p.max():
+        low, high = min(low, middle - half), max(high, middle + half)
+        if p.min() == p.max() or ((p >= low) & (p < high)).mean() > MOST_SPILL:
+            splits[node] = None
             continue
         splits[node] = (float(low), float(middle), float(high))
-        todo += [(2 * node, rows[p < middle], left - 1), (2 * node + 1, rows[p >= middle], left - 1)]
+        todo += [(2 * node, rows[p < high], left - 1), (2 * node + 1, rows[p >= low], left - 1)]
     return splits
 
 
-def grow(classes: DataFrame, kind: str = "<f8", trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, levels: int = LEVELS, most_rounds: int = 8) -> DataFrame:
+def route(rows: np.ndarray, tree: int, path: int, splits: dict[int, tuple[float, float, float] | None]) -> list[tuple[int, np.ndarray, bool]]:
+    """Nodes that rows of one node go to: the node, the rows' numbers, and whether it stays whole."""
+    out, todo = [], [(path, np.arange(len(rows)))]
+    while todo:
+        node, at = todo.pop()
+        if not len(at):
+            continue
+        bounds = splits.get(node)
+        if bounds is None:
+            out.append((node, at, node in splits or node == path))
+            continue
+        p = rows[at] @ direction(tree, node, rows.shape[1])
+        todo += [(2 * node, at[p < bounds[2]]), (2 * node + 1, at[p >= bounds[0]])]
+    return out
+
+
+def grow(classes: DataFrame, kind: str = "<f8", trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, levels: int = LEVELS, most_rounds: int = 8, threshold: float = THRESHOLD) -> DataFrame:
     """cls, tree, path: the leaves of each class in each tree."""
     places = classes.select("cls", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("long").alias("path"))
-    done = past = None
+    done, past = None, []
     vectors = classes.select(F.col("cls").alias("v_cls"), "vector")
     for round_ in range(most_rounds):
         sizes = write_table(places.groupBy("tree", "path").agg(F.count("*").alias("n")), "node-sizes")
@@ -118,9 +143,8 @@ def grow(classes: DataFrame, kind: str = "<f8", trees: int = TREES, leaf: int =
         going = write_table(placed.filter("n is not null").select("cls", "tree", "path", "n"), "going")
         done = write_table(done, "leaves")
         delete_table(sizes)
-        if past is not None:
-            delete_table(places)
-            delete_table(past)
+        for table in past:
+            delete_table(table)
         chance = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
         drawn = going.filter(F.pmod(F.xxhash64("cls", "tree", F.lit(round_)), F.lit(1 << 30)) < chance * (1 << 30))
         drawn = drawn.join(vectors, F.col("cls") == F.col("v_cls")).select("tree", "path", "n", "vector")
@@ -129,45 +153,53 @@ def grow(classes: DataFrame, kind: str = "<f8", trees: int = TREES, leaf: int =
             tree, path, n = (table.column(k)[0].as_py() for k in range(3))
             x = units(sorted(table.column(3).to_pylist()), kind)
             deep = max(1, min(levels, int(np.ceil(np.log2(n / leaf)))))
-            return pa.table({"tree": pa.array([tree], pa.int32()), "path": pa.array([path], pa.int64()), "splits": pa.array([pickle.dumps(fit_node(x, tree, path, deep))], pa.binary())})
+            return pa.table({"tree": pa.array([tree], pa.int32()), "path": pa.array([path], pa.int64()), "splits": pa.array([pickle.dumps(fit_node(x, tree, path, deep, threshold=threshold))], pa.binary())})
 
         splits = write_table(drawn.groupBy("tree", "path").applyInArrow(fit, "tree int, path long, splits binary"), "splits")
 
         def send(batches):
-            memo: dict[bytes | None, tuple] = {}
             for batch in batches:
-                out = ([], [], [])
                 if not batch.num_rows:
                     continue
                 rows = units(batch.column(4).to_pylist(), kind)
-                for x, cls, tree, path, data in zip(rows, *(c.to_pylist() for c in batch.columns[:4])):
-                    if data not in memo:
-                        if len(memo) > 256:
-                            memo.clear()
-                        found = pickle.loads(data) if data else {}  # no split: the node stays as it is
-                        memo[data] = (found, {k: direction(tree, k, len(x)) for k in found})
-                    found, ways = memo[data]
-                    todo = [path]
-                    while todo:
-                        node = todo.pop()
-                        if node in found:
-                            low, _, high = found[node]
-                            p = float(x @ ways[node])
-                            todo += [2 * node] * (p < high) + [2 * node + 1] * (p >= low)
-                        else:
-                            out[0].append(cls), out[1].append(tree), out[2].append(node)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["cls", "tree", "path"])
+                cls, tree, path = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                at_node: dict[tuple, list[int]] = {}
+                for k, key in enumerate(zip(tree.tolist(), path.tolist())):
+                    at_node.setdefault(key, []).append(k)
+                out = ([], [], [], [])
+                for (t, node), at in at_node.items():
+                    data = batch.column(3)[at[0]].as_py()
+                    of = np.array(at)
+                    for to, found, whole in route(rows[of], t, node, pickle.loads(data) if data else {}):
+                        out[0].append(cls[of[found]])
+                        out[1].append(np.full(len(found), t, np.int32))
+                        out[2].append(np.full(len(found), to, np.int64))
+                        out[3].append(np.full(len(found), whole))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["cls", "tree", "path", "whole"])
 
         s = splits.withColumnsRenamed({"tree": "s_tree", "path": "s_path"})
         # splits last: a node's splits are larger than a vector and would be shuffled with each row
         routed = going.join(vectors, F.col("cls") == F.col("v_cls")).join(s, (F.col("tree") == F.col("s_tree")) & (F.col("path") == F.col("s_path")), "left")
-        places = write_table(routed.select("cls", "tree", "path", "splits", "vector").mapInArrow(send, "cls long, tree int, path long"), "places")
+        places = write_table(routed.select("cls", "tree", "path", "splits", "vector").mapInArrow(send, "cls long, tree int, path long, whole boolean"), "places")
         delete_table(going)
         delete_table(splits)
-        past = done
+        past = [done, places]
+        done = done.unionByName(places.filter("whole").drop("whole"))
+        places = places.filter("not whole").drop("whole")
     return write_table(done.unionByName(places), "leaves")
 
 
+def drop_earlier(found: np.ndarray, left: list[set[int]], right: list[set[int]]) -> None:
+    """Clear the pairs of rows and columns of which both are in one earlier leaf."""
+    rows, columns = {}, {}
+    for places, sets in ((rows, left), (columns, right)):
+        for k, codes in enumerate(sets):
+            for code in codes:
+                places.setdefault(code, []).append(k)
+    for code in rows.keys() & columns.keys():
+        found[np.ix_(rows[code], columns[code])] = False
+
+
 def compare(classes: DataFrame, leaves: DataFrame, kind: str = "<f8", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """cls, links, root: links of each class found first in a leaf, counting copies, and its component there."""
     listed = leaves.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("tree", "path"))).alias("leaves"))  # a few for each tree
@@ -191,16 +223,21 @@ def compare(classes: DataFrame, leaves: DataFrame, kind: str = "<f8", threshold:
             right = left if lo == hi else np.flatnonzero(mine == hi)
             if not len(left) or not len(right) or (lo == hi and len(left) < 2):
                 continue
+            sets = [column["codes"][k] for k in range(len(mine))]
+            earlier = [set(s[: s.index(leaf)]) for s in sets]
+            if set.intersection(*earlier):
+                continue  # another leaf has all of these pairs
             x = units(column["vector"], kind)
             found = x[left] @ x[right].T >= threshold
             if lo == hi:
                 np.fill_diagonal(found, False)
             # a pair counts in the first leaf that both lists hold
-            a, b = np.nonzero(found)
-            sets = [column["codes"][k] for k in range(len(mine))]
-            earlier = [set(s[: s.index(leaf)]) for s in sets]
-            keep = np.array([earlier[left[i]].isdisjoint(earlier[right[j]]) for i, j in zip(a.tolist(), b.tolist())], bool)
-            found[a[~keep], b[~keep]] = False
+            if np.count_nonzero(found) <= FEW_PAIRS:
+                a, b = np.nonzero(found)
+                keep = np.array([earlier[left[i]].isdisjoint(earlier[right[j]]) for i, j in zip(a.tolist(), b.tolist())], bool)
+                found[a[~keep], b[~keep]] = False
+            else:
+                drop_earlier(found, [earlier[k] for k in left], [earlier[k] for k in right])
             copies = np.array(column["copies"], np.int64)
             if lo == hi:
                 order, links = left, found @ copies[left]
@@ -228,7 +265,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     members = write_table(able_now.select("vec_id", "key"), "vector-members")
     delete_table(able)
     linking = classes.filter("cls is not null")
-    leaves = grow(linking, kind, trees, leaf)
+    leaves = grow(linking, kind, trees, leaf, threshold=threshold)
     found = write_table(compare(linking, leaves, kind, threshold), "vector-links")
     delete_table(leaves)
     linked = found.groupBy("cls").agg(F.sum("links").alias("links")).withColumnRenamed("cls", "l_cls")

@@ -138,6 +138,45 @@ def test_forest_equals_brute_force(spark):
     assert projection_forest.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, beside", [(2000, 0), (2000, 4000), (20000, 0)])
+def test_forest_parts_no_tight_group(size, beside):
+    """True links of a group of distinct near vectors that share a leaf, by the forest's own rule for a node."""
+    r = np.random.default_rng(5)
+    dim = 32
+    centre = r.standard_normal(dim)
+    centre /= np.linalg.norm(centre)
+    x = np.vstack([centre + 0.2 / np.sqrt(dim) * r.standard_normal((size, dim)), r.standard_normal((beside, dim))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = r.integers(0, size, (2, 4000))
+    near = (a != b) & ((x[a] * x[b]).sum(1) >= 0.95)
+    a, b = a[near], b[near]
+    met = np.zeros(len(a), bool)
+    for tree in range(projection_forest.TREES):
+        todo = [(1, np.arange(len(x)))]
+        while todo:
+            path, at = todo.pop()
+            splits = projection_forest.fit_node(x[r.permutation(at)[: projection_forest.SAMPLE]], tree, path, 6) if len(at) > projection_forest.LEAF else {}
+            for node, found, whole in projection_forest.route(x[at], tree, path, splits):
+                if not whole:
+                    todo.append((node, at[found]))
+                    continue
+                inside = np.zeros(len(x), bool)
+                inside[at[found]] = True
+                met |= inside[a] & inside[b]
+    assert len(a) > 1000 and met.mean() >= 0.98
+
+
+def test_forest_links_a_tight_group(spark):
+    r = np.random.default_rng(6)
+    x = np.r_[np.ones(16), np.zeros(16)] / 4 + 0.2 / np.sqrt(32) * r.standard_normal((1500, 32))
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {row.vec_id: row.n_links for row in projection_forest.near_duplicates(df, leaf=64).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    mine = np.array([got[k] for k in range(len(x))])
+    assert (mine <= links).all() and mine.sum() >= 0.98 * links.sum() > 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
