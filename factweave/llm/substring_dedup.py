@@ -6,11 +6,11 @@ colliding ones are verified by exact Jaccard similarity of their word 5-grams, a
 clustered by components. Of each cluster that goes through two or more documents the first
 paragraph (least document, then line) stays; the others are removed.
 
-Passages that lie inside longer paragraphs are found beside this: of every ANCHOR_GAP consecutive
-windows of ANCHOR words the one with the least hash is an anchor, so that equal passages have equal
-anchors wherever they lie. Anchors that a document shares with an earlier one at one distance are
-runs; a run of at least LEAST_RUN words is removed. A passage of 51 words or more that two documents
-share always has such a run, whatever surrounds it.
+Passages that lie inside longer paragraphs are found beside this: each PASSAGE consecutive words
+that an earlier document has too, whichever document that is, are removed, and nothing else. Of every
+ANCHOR_GAP consecutive windows of ANCHOR words the one with the least hash is an anchor, so that equal
+passages have equal anchors inside. Only passages whose anchors another document has too are candidates;
+in every document that has them, their PASSAGE words are compared by 64-bit hashes.
 
 Only repeats across documents count. Defined results: null texts stay null, texts without
 repeats stay as they are; a text that is all repeats becomes empty; documents with one id count as
@@ -33,7 +33,8 @@ from .shared import docs_of, write_table
 LEAST_WORDS = 40
 ROWS, BANDS = 4, 12
 ANCHOR, ANCHOR_GAP = 16, 15
-LEAST_RUN = 51 - 2 * (ANCHOR_GAP - 1)
+#: A shared run of more than 50 words is a passage.
+PASSAGE = 51
 _word = re.compile(r"\w+").finditer
 
 
@@ -46,28 +47,41 @@ def words_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(words), np.array(start), np.array(end)
 
 
-def anchors(hashes: np.ndarray, size: int = ANCHOR, gap: int = ANCHOR_GAP) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the first words of the anchors, and the anchors' hashes."""
-    if len(hashes) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    count = len(hashes) - size + 1
+def window_hashes(hashes: np.ndarray, size: int = ANCHOR) -> np.ndarray:
+    """Hashes of all windows of `size` words."""
+    count = max(0, len(hashes) - size + 1)
     mixed = np.zeros(count, np.uint64)
-    for k in range(size):
+    for k in range(size if count else 0):
         mixed = (mixed ^ hashes[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    if count <= gap:
-        at = np.array([int(mixed.argmin())])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(mixed, gap)
-        at = np.unique(view.argmin(1) + np.arange(len(view)))
-    # a window of one or two words again and again is no passage
-    varied = np.array([len(set(hashes[a : a + size].tolist())) >= size // 2 for a in at], bool)
-    return at[varied], mixed[at[varied]]
+    return mixed
+
+
+def anchors(mixed: np.ndarray, gap: int = ANCHOR_GAP) -> np.ndarray:
+    """Numbers of the first words of the anchors; mixed: the hashes of all windows."""
+    if len(mixed) <= gap:
+        return np.array([int(mixed.argmin())]) if len(mixed) else np.zeros(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(mixed, gap)
+    at = np.unique(view.argmin(1) + np.arange(len(view)))
+    return at
+
+
+def candidates(count: int, shared: np.ndarray, gap: int = ANCHOR_GAP) -> np.ndarray:
+    """First words of the passages of which each `gap` windows hold a shared anchor; count: of all windows."""
+    inner = PASSAGE - ANCHOR + 1  # windows of a passage
+    if count < inner:
+        return np.zeros(0, np.int64)
+    marked = np.zeros(count + 1, np.int64)
+    marked[shared + 1] = 1
+    upto = np.cumsum(marked)
+    empty = np.cumsum(np.r_[0, upto[gap:] == upto[:-gap]])
+    groups = inner - gap + 1
+    return np.flatnonzero(empty[groups:] == empty[:-groups])
 
 
 PARAGRAPH = "array<struct<line:int,start:int,end:int,key:binary,bands:array<bigint>>>"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-ANCHORS = "array<struct<pos:int,start:int,end:int,hash:bigint>>"
+ANCHORS = "array<bigint>"
 
 
 def _described(least_words: int, rows: int, bands: int):
@@ -93,11 +107,8 @@ def _described(least_words: int, rows: int, bands: int):
                             where.append(own[-1])
                         first = last + 1
                     paragraphs.append(own)
-                    pos, values = anchors(hashes)
-                    marks.append([
-                        {"pos": p, "start": s, "end": e, "hash": h}
-                        for p, s, e, h in zip(pos.tolist(), start[pos].tolist(), end[pos + ANCHOR - 1].tolist(), values.view(np.int64).tolist())
-                    ])
+                    mixed = window_hashes(hashes)
+                    marks.append(np.unique(mixed[anchors(mixed)]).view(np.int64).tolist())
                 if sets:
                     for entry, found in zip(where, hasher.bands_of(sets).tolist()):
                         entry["bands"] = found
@@ -105,7 +116,7 @@ def _described(least_words: int, rows: int, bands: int):
                     [
                         part.column(0),
                         pa.array(paragraphs, pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))]))),
-                        pa.array(marks, pa.list_(pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))),
+                        pa.array(marks, pa.list_(pa.int64())),
                     ],
                     ["doc_id", "paragraphs", "anchors"],
                 )
@@ -147,32 +158,56 @@ def paragraph_spans(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return hit.filter("doc_id != s_doc or line != s_line").select("doc_id", "start", "end")
 
 
-def anchor_spans(marks: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
-    """doc_id, start, end of runs that an earlier document has too; marks: doc_id, pos, start, end, hash."""
-    shared = marks.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("stays"), F.max("doc_id").alias("most")).filter("stays.doc_id != most")
-    shared = write_table(shared.select(F.col("hash").alias("s_hash"), F.col("stays.doc_id").alias("s_doc"), F.col("stays.pos").alias("s_pos")), "shared-anchors")
-    hit = marks.join(shared, F.col("hash") == F.col("s_hash")).filter("doc_id != s_doc")
-    # hashes of a run lie at one distance from their places in the document that stays
-    run = hit.groupBy("doc_id", "s_doc", (F.col("pos") - F.col("s_pos")).alias("shift")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "start", "end"))).alias("marks")  # at most a document's own anchors
-    )
-    return run.select("doc_id", F.explode(_runs(F.col("marks"), least_run)).alias("r")).select("doc_id", "r.start", "r.end")
-
-
-def _runs(marks, least_run: int):
-    """Marks less than two gaps apart make a run; runs of least_run words or more as (start, end)."""
-    reach = ANCHOR + ANCHOR_GAP
-    start = F.expr("cast(array() as array<struct<pos:int,upto:int,start:int,end:int>>)")
+PASSAGES = "doc_id long, hashes array<bigint>, starts array<int>, ends array<int>"
 
-    def step(acc, m):
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce(m["pos"] - last["upto"] <= reach, F.lit(False))
-        grown = F.struct(last["pos"].alias("pos"), m["pos"].alias("upto"), last["start"].alias("start"), m["end"].alias("end"))
-        fresh = F.struct(m["pos"].alias("pos"), m["pos"].alias("upto"), m["start"].alias("start"), m["end"].alias("end"))
-        before = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(joins, F.concat(before, F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
 
-    return F.filter(F.aggregate(marks, start, step), lambda r: r["upto"] - r["pos"] + ANCHOR >= least_run)
+def _passages(batches):
+    """doc_id, hashes, starts, ends of the candidates of texts (doc_id, text, shared anchors)."""
+    memo: dict[str, int] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            part = batch.slice(at, 100)
+            out = ([], [], [], [])
+            for doc, text, known in zip(*(c.to_pylist() for c in part.columns)):
+                words, start, end = words_of(text)
+                mixed = window_hashes(word_hashes(words, memo))
+                pos = anchors(mixed)
+                pos = pos[np.isin(mixed[pos], np.array(known, np.int64).view(np.uint64))]
+                first = candidates(len(mixed), pos)
+                if not len(first):
+                    continue
+                # windows that cover the passage together
+                cover = [mixed[first + k] for k in (*range(0, PASSAGE - ANCHOR, ANCHOR), PASSAGE - ANCHOR)]
+                out[0].append(doc)
+                out[1].append(window_hashes(np.stack(cover, 1).ravel(), len(cover))[:: len(cover)].view(np.int64))
+                out[2].append(start[first])
+                out[3].append(end[first + PASSAGE - 1])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "hashes", "starts", "ends"])
+
+
+def _joined(batches):
+    """doc_id, start, end of spans (doc_id, spans), those that overlap as one."""
+    for batch in batches:
+        rows = [(doc, a, b) for doc, spans in zip(*(c.to_pylist() for c in batch.columns)) for a, b in merged([(s["start"], s["end"]) for s in spans])]
+        ids, starts, ends = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start", "end"])
+
+
+def passage_spans(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc_id, start, end of passages that an earlier document has too; marks: doc_id, hash of anchors."""
+    ends = (F.min("doc_id").alias("first"), F.max("doc_id").alias("most"))
+    common = write_table(marks.groupBy("hash").agg(*ends).filter("first != most").select(F.col("hash").alias("s_hash")), "shared-anchors")
+    known = marks.join(common, F.col("hash") == F.col("s_hash")).groupBy(F.col("doc_id").alias("k_id")).agg(F.collect_set("hash").alias("known"))  # at most a document's own
+    texts = docs.filter("text is not null").join(known, F.col("doc_id") == F.col("k_id")).select("doc_id", "text", "known")
+    found = write_table(texts.mapInArrow(_passages, PASSAGES), "passages")
+    hashes = found.select("doc_id", F.explode("hashes").alias("hash"))
+    earlier = hashes.groupBy("hash").agg(*ends).filter("first != most").select(F.col("hash").alias("e_hash"), "first")
+    earlier = write_table(earlier, "shared-passages")
+    rows = found.select("doc_id", F.explode(F.arrays_zip("hashes", "starts", "ends")).alias("p")).select("doc_id", F.col("p.hashes").alias("hash"), F.col("p.starts").alias("start"), F.col("p.ends").alias("end"))
+    hit = rows.join(earlier, F.col("hash") == F.col("e_hash")).filter("doc_id > first")
+    spans = hit.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # at most a document's own words
+    return spans.mapInArrow(_joined, "doc_id long, start int, end int")
 
 
 def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -204,8 +239,8 @@ def spans_of(docs: DataFrame, least_words: int = LEAST_WORDS, rows: int = ROWS,
     schema = f"doc_id long, paragraphs {PARAGRAPH}, anchors {ANCHORS}"
     described = write_table(docs.mapInArrow(_described(least_words, rows, bands), schema), "described")
     paragraphs = described.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
-    marks = described.select("doc_id", F.explode("anchors").alias("a")).select("doc_id", "a.*")
-    spans = write_table(paragraph_spans(docs, paragraphs).unionByName(anchor_spans(marks)), "spans")
+    marks = described.select("doc_id", F.explode("anchors").alias("hash"))
+    spans = write_table(paragraph_spans(docs, paragraphs).unionByName(passage_spans(docs, marks)), "spans")
     return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 

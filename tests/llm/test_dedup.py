@@ -118,6 +118,29 @@ def test_substring_dedup(spark):
     assert substring_dedup.dedup(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def removed(spark, texts):
+    """Words that each text loses."""
+    out = {}
+    for row in substring_dedup.dedup(frame(spark, texts)).collect():
+        out[row.doc_id] = [texts[row.doc_id][s.start : s.end] for s in row.spans or []]
+    return out
+
+
+def test_passage_of_scattered_holders(spark):
+    texts, wanted = [], {}
+    for size in (51, 55, 60):
+        for _ in range(8):
+            passage = words(size)
+            middle = size // 2
+            texts.append(" ".join(words(30) + passage[:middle] + ["inserted"] + passage[middle:] + words(30)))
+            texts.append(" ".join(words(30) + passage[:middle] + words(30)))
+            texts.append(" ".join(words(30) + passage[middle:] + words(30)))
+            texts += [" ".join(words(30) + passage + words(30)) for _ in range(2)]
+            wanted[len(texts) - 1] = [" ".join(passage)]
+    got = removed(spark, texts)
+    assert got == {k: wanted.get(k, []) for k in range(len(texts))}
+
+
 def test_forest_equals_brute_force(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((600, 16))
