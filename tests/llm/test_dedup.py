@@ -141,6 +141,16 @@ def test_passage_of_scattered_holders(spark):
     assert got == {k: wanted.get(k, []) for k in range(len(texts))}
 
 
+def test_passage_of_few_distinct_words(spark):
+    texts, wanted = [], {}
+    for k in range(10):
+        few = ["few%d" % n for n in rng.sample(range(1000 * k, 1000 * k + 900), 7)]
+        passage = rng.choices(few, k=60)
+        texts += [" ".join(words(30) + passage + words(30)) for _ in range(2)]
+        wanted[len(texts) - 1] = [" ".join(passage)]
+    assert removed(spark, texts) == {k: wanted.get(k, []) for k in range(len(texts))}
+
+
 def test_forest_equals_brute_force(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((600, 16))
