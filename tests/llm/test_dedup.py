@@ -151,6 +151,19 @@ def test_passage_of_few_distinct_words(spark):
     assert removed(spark, texts) == {k: wanted.get(k, []) for k in range(len(texts))}
 
 
+def test_passage_is_cut_at_its_own_ends(spark):
+    texts, wanted = [], {}
+    for size in (50, 51, 52, 66, 90):
+        for _ in range(5):
+            passage = words(size)
+            texts += [" ".join(words(40) + passage + words(40)) for _ in range(2)]
+            wanted[len(texts) - 1] = [" ".join(passage)] if size > 50 else []
+    for _ in range(10):  # words of one's own between two short shared runs
+        one, two = words(22), words(22)
+        texts += [" ".join(words(20) + one + words(10) + two + words(20)) for _ in range(2)]
+    assert removed(spark, texts) == {k: wanted.get(k, []) for k in range(len(texts))}
+
+
 def test_forest_equals_brute_force(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((600, 16))
