@@ -95,8 +95,8 @@ class MinHash:
         return out.view(np.int64)
 
 
-def sketched(df: DataFrame, id_col: str, text_col: str, rows: int, bands: int, least_words: int = 1) -> DataFrame:
-    """id, key (of the sequence of words) and band hashes of each text with enough words."""
+def sketched(df: DataFrame, id_col: str, text_col: str, rows: int, bands: int) -> DataFrame:
+    """id, key (of the sequence of words) and band hashes of each text; key and hashes are null where it has no words."""
 
     def apply(batches):
         hasher, memo = MinHash(rows, bands), {}
@@ -106,16 +106,15 @@ def sketched(df: DataFrame, id_col: str, text_col: str, rows: int, bands: int, l
                 ids, keys, sets, total = [], [], [], 0
                 while at < batch.num_rows and total < 200_000:
                     words = normalised(batch.column(1)[at].as_py())
-                    if len(words) >= least_words:
-                        ids.append(batch.column(0)[at].as_py())
-                        keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    ids.append(batch.column(0)[at].as_py())
+                    keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
+                    if words:
                         sets.append(ngram_set(word_hashes(words, memo)))
-                        total += len(words)
+                    total += len(words)
                     at += 1
-                if ids:
-                    found = hasher.bands_of(sets)
-                    flat = pa.ListArray.from_arrays(np.arange(0, found.size + 1, bands, dtype=np.int32), pa.array(found.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), flat], ["id", "key", "bands"])
+                found = iter(hasher.bands_of(sets).tolist() if sets else [])
+                of = [next(found) if key else None for key in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), pa.array(of, pa.list_(pa.int64()))], ["id", "key", "bands"])
 
     kind = dict(df.dtypes)[id_col]
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, f"id {kind}, key binary, bands array<bigint>")
@@ -237,7 +236,7 @@ def join_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     """One row for each row of df: doc_id, class_id (least doc_id that links lead to), n_links, n_copies, kept."""
     sketches = write_table(sketched(df, id_col, text_col, rows, bands), "sketches")
     # copies are summed before they are shuffled
-    classes = sketches.groupBy("key").agg(F.min(F.struct("id", "bands")).alias("s"), F.count("*").alias("copies"))
+    classes = sketches.filter("key is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("s"), F.count("*").alias("copies"))
     classes = write_table(classes.select("key", F.col("s.id").alias("cls"), F.col("s.bands").alias("bands"), "copies"), "classes")
     clusters = write_table(candidate_clusters(classes.filter("cls is not null")), "clusters")
     members = clusters.join(classes.select("cls", "copies"), F.col("node") == F.col("cls")).select("cls", F.col("component").alias("cluster"), "copies")
@@ -256,7 +255,7 @@ def join_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     with_words = sketches.select("id", "key").join(of_class, F.col("key") == F.col("c_key")).select(
         F.col("id").alias("doc_id"), "class_id", "n_links", F.col("copies").alias("n_copies"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
     )
-    without = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(~F.coalesce(F.col("text").rlike(r"(?U)\w"), F.lit(False)))
+    without = sketches.filter("key is null").withColumnRenamed("id", "doc_id")
     without = without.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
     return with_words.unionByName(without)
 

@@ -91,6 +91,13 @@ def test_ngram_join(spark):
     assert ngram_join.join_texts(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_ngram_join_has_a_row_for_each_document(spark):
+    texts = ["\u2764\ufe0f", "\U0001f468\u200d\U0001f469", "\u0301", "\u00bd", "\u00b2", "\u2461", "\u00bd", "plain", None, "", "..."]
+    got = [(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join.join_texts(frame(spark, texts)).collect()]
+    copies = {3: (3, 1, 2), 6: (3, 1, 2)}
+    assert sorted(got) == [(k, *copies.get(k, (k, 0, 1))) for k in range(len(texts))]
+
+
 def test_blocks_of_a_large_cluster(spark):
     sets = [np.arange(100 + k % 3, dtype=np.uint64) for k in range(50)] + [np.arange(900, 1000, dtype=np.uint64)]
     rows = spark.createDataFrame([(k, 0, 1, bytearray(s.tobytes())) for k, s in enumerate(sets)], "cls long, cluster long, copies long, grams binary")
