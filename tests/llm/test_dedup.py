@@ -171,52 +171,89 @@ def test_passage_is_cut_at_its_own_ends(spark):
     assert removed(spark, texts) == {k: wanted.get(k, []) for k in range(len(texts))}
 
 
+def links_of(x, threshold=0.95):
+    """Pairs of rows of one length at the threshold or more."""
+    unit = [np.array(v) / np.linalg.norm(v) for v in x]
+    return [(a, b) for a, b in itertools.combinations(range(len(x)), 2) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold]
+
+
 def test_forest_equals_brute_force(spark):
     r = np.random.default_rng(3)
-    x = r.standard_normal((600, 16))
-    x = np.vstack([x, x[:80] + 0.05 * r.standard_normal((80, 16)), x[:5], x[:5] * 3])
+    x = r.standard_normal((900, 16))
+    x = [*x, *(x[:80] + 0.05 * r.standard_normal((80, 16))), *x[:5], *(x[:5] * 3)]
+    y = r.standard_normal((60, 3))  # another length
+    x += [*y, *y[:4], *(y[4:8] * 2)]
     rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)]
-    odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [], [1.0, 2.0], [float("inf")] * 16]
+    odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [], [0.0], [float("inf")] * 16]
     rows += [(10_000 + k, v) for k, v in enumerate(odd)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("unit", F.lit("x"))
-    got = {r.vec_id: r for r in projection_forest.near_duplicates(df, leaf=64).collect()}
-    unit = x / np.linalg.norm(x, axis=1)[:, None]
-    found = np.triu(unit @ unit.T >= 0.95, 1)
-    pairs = list(zip(*map(np.ndarray.tolist, np.nonzero(found))))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("size", F.lit("x")).withColumn("key", F.lit(2))
+    got = {row.vec_id: row for row in projection_forest.near_duplicates(df, leaf=32).collect()}
+    assert len(got) == len(rows)
+    pairs = links_of(x)
     links = np.bincount(np.array(pairs).ravel(), minlength=len(x))
     mine = np.array([got[k].n_links for k in range(len(x))])
-    assert (mine <= links).all() and mine.sum() >= 0.9 * links.sum()
+    assert (mine <= links).all() and mine.sum() >= 0.99 * links.sum()
+    wanted = closure(range(len(x)), pairs)
+    assert np.mean([got[k].component_id == wanted[k] for k in range(len(x))]) >= 0.99
+    if (mine == links).all():
+        assert all(got[k].component_id == wanted[k] for k in range(len(x)))
     assert all(got[k].kept == (got[k].component_id == k) for k in range(len(x)))
     assert all((got[10_000 + k].n_links, got[10_000 + k].component_id) == (0, 10_000 + k) for k in range(len(odd)))
     assert projection_forest.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size, beside", [(2000, 0), (2000, 4000), (20000, 0)])
-def test_forest_parts_no_tight_group(size, beside):
-    """True links of a group of distinct near vectors that share a leaf, by the forest's own rule for a node."""
+def test_forest_null_and_repeated_ids(spark):
+    one, two, far = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, one), (2, one), (None, one), (3, two), (None, far), (None, far), (4, [1.0, 1.0]), (5, [1.0, 1.0]), (6, far[:2]), (7, one), (7, [0.0, 0.0, 5.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in projection_forest.near_duplicates(df).collect()), key=str)
+    wanted = [(1, 4, 1, True), (2, 4, 1, False), (None, 4, 1, False), (3, 4, 1, False), (None, 1, None, True), (None, 1, None, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 4, 1, False), (7, 0, 7, True), (None, 0, None, True)]
+    assert got == sorted(wanted, key=str)
+
+
+def leaves_of(x, trees=projection_forest.TREES, leaf=projection_forest.LEAF, levels=projection_forest.LEVELS, seed=1):
+    """The forest's own rounds in one process: for each tree a list of leaves."""
+    r = np.random.default_rng(seed)
+    depth = 40
+    p = (x @ projection_forest.directions(x.shape[1], trees, depth)).astype("<f4").reshape(len(x), trees, depth)
+    for tree in range(trees):
+        todo, out = [(1, np.arange(len(x)), False)], []
+        while todo:
+            path, at, tight = todo.pop()
+            if tight or len(at) <= (leaf if path == 1 else 2 * leaf):
+                out.append(at)
+                continue
+            some = p[r.permutation(at)[: projection_forest.SAMPLE], tree]
+            bounds = projection_forest.fit_node(some, len(at), path.bit_length() - 1, leaf, levels)
+            rows, to, tight = projection_forest.route(p[at, tree], np.full(len(at), path), bounds[None], np.zeros(len(at), int))
+            for node in np.unique(to):
+                todo.append((int(node), at[rows[to == node]], bool(tight[to == node][0])))
+        yield out
+
+
+@pytest.mark.parametrize("size, beside, dim", [(2000, 0, 32), (2000, 4000, 32), (20000, 0, 32), (4000, 100_000, 64)])
+def test_forest_parts_no_tight_group(size, beside, dim):
+    """True links of a group of distinct near vectors that share a leaf; the last case takes three rounds."""
     r = np.random.default_rng(5)
-    dim = 32
     centre = r.standard_normal(dim)
     centre /= np.linalg.norm(centre)
     x = np.vstack([centre + 0.2 / np.sqrt(dim) * r.standard_normal((size, dim)), r.standard_normal((beside, dim))])
     x /= np.linalg.norm(x, axis=1)[:, None]
+    if beside > 50_000:  # pairs beside the group
+        x[-size:] = x[size : 2 * size] + 0.29 / np.sqrt(dim) * r.standard_normal((size, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
     a, b = r.integers(0, size, (2, 4000))
+    if beside > 50_000:
+        a, b = np.r_[a, np.arange(size, 2 * size)], np.r_[b, np.arange(len(x) - size, len(x))]
     near = (a != b) & ((x[a] * x[b]).sum(1) >= 0.95)
     a, b = a[near], b[near]
     met = np.zeros(len(a), bool)
-    for tree in range(projection_forest.TREES):
-        todo = [(1, np.arange(len(x)))]
-        while todo:
-            path, at = todo.pop()
-            splits = projection_forest.fit_node(x[r.permutation(at)[: projection_forest.SAMPLE]], tree, path, 6) if len(at) > projection_forest.LEAF else {}
-            for node, found, whole in projection_forest.route(x[at], tree, path, splits):
-                if not whole:
-                    todo.append((node, at[found]))
-                    continue
-                inside = np.zeros(len(x), bool)
-                inside[at[found]] = True
-                met |= inside[a] & inside[b]
-    assert len(a) > 1000 and met.mean() >= 0.98
+    for leaves in leaves_of(x):
+        for at in leaves:
+            inside = np.zeros(len(x), bool)
+            inside[at] = True
+            met |= inside[a] & inside[b]
+    assert len(a) > 1000 and met.mean() >= 0.99
 
 
 def test_forest_links_a_tight_group(spark):
