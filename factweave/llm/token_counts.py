@@ -9,13 +9,16 @@ place whose new symbol forms a pair of the same or a lower rank: merged one by o
 come next. Pre-tokens are memoised in a table of bounded size. One that is longer than SEGMENT is
 cut at likely boundaries; two neighbouring segments are right exactly if the last symbol of one and
 the first of the next encode to themselves together, and are joined and counted anew where not.
+Where joined ones grow long (texts that repeat without end), a heap of pairs merges them, in n log n.
 
-Defined results: null and empty texts have no tokens; equal rows give equal counts.
+Defined results: null and empty texts have no tokens; equal rows give equal counts; an empty table
+gives no rows; texts of any length take time in proportion, but for that logarithm.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +33,8 @@ LIMIT = 4096
 MEMO = 400_000
 #: Characters of a pre-token that are merged together; longer ones are cut.
 SEGMENT = 256
+#: So often wrong neighbours are joined before the whole pre-token goes to the heap.
+JOINS = 4
 #: Symbols of one ragged array.
 BLOCK = 400_000
 NONE = np.int64(1 << 40)
@@ -88,6 +93,12 @@ class Ranks:
             open_, at = open_[go], (at[go] + 1) & ((1 << self.bits) - 1)
         return rank, into
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged symbol of left * size + right."""
+        used = np.flatnonzero(self.keys >= 0)
+        return dict(zip(self.keys[used].tolist(), zip(self.ranks[used].tolist(), self.into[used].tolist())))
+
     def symbols(self, text: str) -> list[int]:
         """Symbols of a text's characters: a piece's id, or minus the number of byte pieces (unknown: -1)."""
         get = self.char.get
@@ -175,6 +186,38 @@ def rounds(ranks: Ranks, symbols: np.ndarray, sizes: np.ndarray):
         rank[touched], into[touched] = pair_ranks(touched)
 
 
+def merge_one(ranks: Ranks, symbols: list[int]) -> np.ndarray:
+    """Surviving symbols of one sequence: a heap holds its pairs, the lowest rank first, the leftmost of equals."""
+    pairs, size, n = ranks.pairs, ranks.size, len(symbols)
+    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def pair(at: int):
+        right = after[at]
+        if right < n and symbols[at] >= 0 and symbols[right] >= 0:
+            found = pairs.get(symbols[at] * size + symbols[right])
+            if found:
+                return found[0], at, symbols[at], symbols[right], found[1]
+
+    heap = [p for p in map(pair, range(n)) if p]
+    heapq.heapify(heap)
+    gone = bytearray(n)
+    while heap:
+        _, at, left, other, made = heapq.heappop(heap)
+        right = after[at]
+        if gone[at] or right >= n or symbols[at] != left or symbols[right] != other:
+            continue
+        symbols[at] = made
+        gone[right] = 1
+        after[at] = after[right]
+        if after[at] < n:
+            before[after[at]] = at
+        for place in (before[at], at):
+            new = pair(place) if place >= 0 else None
+            if new:
+                heapq.heappush(heap, new)
+    return np.array([s for s, g in zip(symbols, gone) if not g], np.int64)
+
+
 def weight(symbols: np.ndarray) -> int:
     """Tokens that the symbols stand for."""
     return int(np.where(symbols < 0, -symbols, 1).sum())
@@ -227,27 +270,25 @@ class Counter:
                 cuts.append(near)
         segments = [text[a:b] for a, b in zip(cuts, cuts[1:] + [len(text)])]
         parts = merge(ranks, [ranks.symbols(s) for s in segments])
-        while len(parts) > 1:
+        for _ in range(JOINS):
             pairs = [[int(a[-1]), int(b[0])] for a, b in zip(parts, parts[1:])]
             chars = [self._characters(a) + self._characters(b) for a, b in pairs]
             right = [list(got) == pair for got, pair in zip(merge(ranks, chars), pairs)]
             if all(right):
-                break
-            joined, fresh = [], []
-            for k, segment in enumerate(segments):
-                if k and not right[k - 1]:
-                    joined[-1] += segment
-                    fresh[-1] = True
-                else:
-                    joined.append(segment)
-                    fresh.append(False)
-            kept = iter([p for k, p in enumerate(parts) if (k == 0 or right[k - 1])])
-            parts = [next(kept) for _ in joined]
-            anew = [k for k, x in enumerate(fresh) if x]
-            for k, p in zip(anew, merge(ranks, [ranks.symbols(joined[k]) for k in anew])):
+                return sum(weight(p) for p in parts)
+            firsts = [0] + [k for k, ok in enumerate(right, 1) if ok]
+            bounds = list(zip(firsts, firsts[1:] + [len(segments)]))
+            joined = ["".join(segments[a:b]) for a, b in bounds]
+            parts = [parts[a] if b == a + 1 else None for a, b in bounds]
+            anew = [k for k, p in enumerate(parts) if p is None]
+            short = [k for k in anew if len(joined[k]) <= 4 * SEGMENT]
+            for k, p in zip(short, merge(ranks, [ranks.symbols(joined[k]) for k in short])):
                 parts[k] = p
+            for k in anew:
+                if parts[k] is None:
+                    parts[k] = merge_one(ranks, ranks.symbols(joined[k]))
             segments = joined
-        return sum(weight(p) for p in parts)
+        return weight(merge_one(ranks, ranks.symbols(text)))
 
     def _characters(self, symbol: int) -> list[int]:
         return [symbol] if symbol < 0 else self.ranks.symbols(self.pieces.surface[symbol])

@@ -43,7 +43,42 @@ def test_unigram_weights_take_the_least_path():
         usable = {"a": 1, "b": 2, "ab": 3, "ba": 4}
 
     t = fst.Transducer(Toy())
-    assert t.shortest_path("aba") == ["a", "ba"] and t.shortest_path("ab") == ["a", "b"] and t.shortest_path("xb") == ["x", "b"]
+    assert t.shortest_path("aba") == [1, 4] and t.shortest_path("ab") == [1, 2] and t.shortest_path("xb") == [-1 - ord("x"), 2]
+
+
+def test_neighbours_are_what_greedy_merging_leaves():
+    pieces = Pieces(public_tokenizers.path(fst.MODEL))
+    c = fst.Neighbours(pieces)
+    assert all(len(p) == 1 or i in c.parts or i in c.tied for p, i in pieces.usable.items())  # every piece can be made
+    counter = token_counts.Counter(pieces)
+    ids = list(pieces.usable.values())
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(6000)] + [c.parts[i] for i in rng.sample(sorted(c.parts), 2000)]
+    marks = [i for p, i in pieces.usable.items() if set(p) == {"\u2581"}]
+    pairs += [(x, y) for x in marks for y in marks] + [(x, y) for x in marks for y in rng.sample(ids, 100)]
+    merged = token_counts.merge(counter.ranks, [counter._characters(x) + counter._characters(y) for x, y in pairs])
+    assert [c.weigh(x, y) == 0 for x, y in pairs] == [m.tolist() == [x, y] for m, (x, y) in zip(merged, pairs)]
+
+
+def test_normaliser():
+    t = fst.transducer(public_tokenizers.path(fst.MODEL))
+    assert t.normalise(" a  \u2581b") == "\u2581a\u2581\u2581\u2581b"
+    arcs = fst.normaliser(True)
+    assert arcs[fst.START, " "] == ("\u2581\u2581", fst.INSIDE) and arcs[fst.START, None] == ("\u2581", fst.INSIDE)
+
+
+@pytest.mark.parametrize("part", ["a", ".", "ab", "\u65e5", "abethinor", "\u65e5\u672c\u8a9e", "=-"])
+def test_very_long_runs(library, part):
+    text = part * (300_000 // len(part))
+    assert fst.transducer(public_tokenizers.path(fst.MODEL)).encode(text) == library.encode(text)
+    assert token_counts.counter(public_tokenizers.path(fst.MODEL)).count([text]) == [len(library.encode(text))]
+
+
+def test_heap_equals_the_rounds():
+    counter = token_counts.counter(public_tokenizers.path(fst.MODEL))
+    for x in ODD:
+        symbols = counter.ranks.symbols(x.replace(" ", "\u2581"))
+        if symbols:
+            assert token_counts.merge_one(counter.ranks, symbols).tolist() == token_counts.merge(counter.ranks, [symbols])[0].tolist()
 
 
 def test_counts_equal_the_library(spark, library):
