@@ -7,14 +7,18 @@ were chosen for that recall. Classes are shuffled by band hash, and those that s
 linked to the least class of the bucket, not to each other: this makes candidate clusters, which
 hold every pair that shares a band, with as many rows as there are classes.
 
-Within a candidate cluster all pairs are verified on full 5-gram sets. A large cluster is dealt
-into blocks and each pair of blocks is a task, so that no cluster is gathered in one place. Tasks
-return, for each class, its number of links and one edge to its part of the block's own components,
-never the pairs.
+Pairs are verified on full 5-gram sets. A cluster of up to BLOCK classes is one task. In a larger
+one, which chains of buckets may have brought together, only pairs that share a band are verified:
+its buckets (of those with the same members one) are dealt into blocks, each pair of blocks is a
+task, and a pair counts in the first bucket that holds both. So no cluster or bucket is gathered in
+one place. Tasks return, for each class, its number of links and one edge to its part of the task's
+own components, never the pairs.
 
 Words are runs of letters, digits and underscores, lower-cased; a text with fewer than five is one
 n-gram. Defined results: null texts and texts without words link with nothing, not even each other;
-repeated rows are copies of each other; no cap holds anywhere.
+repeated rows are copies of each other; rows that repeat an id with other texts are compared each by
+its own text; a null id is never a class's id, and a text that only rows with null ids have links
+with its copies only, and its class id is null; an empty table gives no rows; no cap holds anywhere.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .shared import docs_of, runs, write_table
+from .shared import docs_of, keep, runs, scratch, write_table
 
 NGRAM = 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction, compared in integers
@@ -41,6 +45,11 @@ def normalised(text: str | None) -> list[str]:
     return _words(text.lower()) if text else []
 
 
+def class_key(words: list[str]) -> bytes | None:
+    """The digest of a sequence of words; None where there are none."""
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None
+
+
 def word_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
     """64-bit hashes of words, the same in every process."""
     if len(memo) > 150_000:
@@ -107,7 +116,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str, rows: int, bands: int) -
                 while at < batch.num_rows and total < 200_000:
                     words = normalised(batch.column(1)[at].as_py())
                     ids.append(batch.column(0)[at].as_py())
-                    keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
+                    keys.append(class_key(words))
                     if words:
                         sets.append(ngram_set(word_hashes(words, memo)))
                     total += len(words)
@@ -120,19 +129,53 @@ def sketched(df: DataFrame, id_col: str, text_col: str, rows: int, bands: int) -
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, f"id {kind}, key binary, bands array<bigint>")
 
 
-def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """node, component of classes (cls, bands) that share a band with another class, directly or by others."""
+def candidate_units(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """cls, unit, codes of classes (cls, bands) that share a band with another: the units to be compared in.
+
+    A unit is a cluster, or in clusters of more than a block a bucket; codes are all units of the class.
+    """
     rows = write_table(classes.select("cls", F.explode("bands").alias("bucket")), "bands")
     shared = rows.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least != most")
-    shared = write_table(shared.select("bucket", "least"), "buckets")
-    return components(rows.join(shared, "bucket").select(F.col("cls").alias("u"), F.col("least").alias("v")))
+    shared = write_table(shared.select(F.col("bucket").alias("s_bucket"), "least"), "buckets")
+    linked = rows.join(shared, F.col("bucket") == F.col("s_bucket"))
+    clusters = write_table(components(linked.select(F.col("cls").alias("u"), F.col("least").alias("v"))), "clusters")
+    sizes = clusters.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    large = write_table(sizes.select("c"), "large-clusters")
+    on = F.col("component") == F.col("c")
+    none = F.array().cast("array<bigint>")
+    units = clusters.join(large, on, "left_anti").select(F.col("node").alias("cls"), F.struct(F.lit(0).alias("kind"), F.col("component").alias("code")).alias("unit"), none.alias("codes"))
+    if large.isEmpty():
+        return units
+    inside = clusters.join(large, on, "left_semi").select(F.col("node").alias("i_cls"))
+    dealt = write_table(linked.join(inside, F.col("cls") == F.col("i_cls")).select("cls", "bucket"), "large-buckets")
+    # buckets with the same members have the same pairs: one of them will do
+    members = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"), F.min("cls").alias("least"))
+    chosen = members.groupBy("n", "x", "y", "least").agg(F.min("bucket").alias("c_bucket")).select("c_bucket")
+    dealt = write_table(dealt.join(chosen, F.col("bucket") == F.col("c_bucket")).select("cls", "bucket"), "chosen-buckets")
+    codes = dealt.groupBy(F.col("cls").alias("l_cls")).agg(F.sort_array(F.collect_set("bucket")).alias("codes"))  # as many as bands at most
+    in_buckets = dealt.join(codes, F.col("cls") == F.col("l_cls"))
+    return units.unionByName(in_buckets.select("cls", F.struct(F.lit(1).alias("kind"), F.col("bucket").alias("code")).alias("unit"), "codes"))
 
 
 def _sets(batches):
+    """cls, grams of texts (cls, key, text); a row that repeats the id with another text has another key and goes."""
     memo: dict[str, int] = {}
     for batch in batches:
-        sets = [ngram_set(word_hashes(normalised(t), memo)).tobytes() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["cls", "cluster", "grams"])
+        words = [normalised(t) for t in batch.column(2).to_pylist()]
+        right = [class_key(w) == k for w, k in zip(words, batch.column(1).to_pylist())]
+        sets = [ngram_set(word_hashes(w, memo)).tobytes() for w, r in zip(words, right) if r]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(right, pa.bool_())), pa.array(sets, pa.binary())], ["cls", "grams"])
+
+
+def drop_earlier(found: np.ndarray, left: list[set[int]], right: list[set[int]]) -> None:
+    """Clear the pairs of rows and columns that have an earlier unit in common."""
+    rows, columns = {}, {}
+    for places, sets in ((rows, left), (columns, right)):
+        for k, codes in enumerate(sets):
+            for code in codes:
+                places.setdefault(code, []).append(k)
+    for code in rows.keys() & columns.keys():
+        found[np.ix_(rows[code], columns[code])] = False
 
 
 def similar(a: list[np.ndarray], b: list[np.ndarray] | None, threshold=THRESHOLD) -> np.ndarray:
@@ -184,74 +227,70 @@ def roots(found: np.ndarray, square: bool) -> np.ndarray:
 
 
 def verify(members: DataFrame, block: int = BLOCK, threshold=THRESHOLD) -> DataFrame:
-    """cls, links, root for rows (cls, cluster, copies, grams): its links with other classes' texts in a pair of blocks.
+    """cls, links, root for rows (cls, unit, codes, copies, grams): its links with other classes' texts in a pair of blocks.
 
-    Links count copies. A class has one row for each pair of blocks that it is in.
+    Links count copies. A class has one row for each task that it has links in; rows that repeat a class count once.
     """
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    sizes = write_table(sizes.select(F.col("cluster").alias("c"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "cluster-sizes")
-    dealt = members.join(sizes, F.col("cluster") == F.col("c")).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("cls", "cluster", "copies", "grams", "mine", other)
-    dealt = dealt.select("cls", "cluster", "copies", "grams", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    task = ["cluster", "lo", "hi"]
+    sizes = members.groupBy("unit").agg(F.count("*").alias("size"))
+    sizes = write_table(sizes.select(F.col("unit").alias("u"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "unit-sizes")
+    dealt = members.join(sizes, F.col("unit") == F.col("u")).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    own = ["cls", "copies", "mine", "grams", "codes"]
+    dealt = dealt.select("unit.kind", "unit.code", *own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("kind", "code", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), *own)
+    task = ["kind", "code", "lo", "hi"]
     sorted_ = dealt.repartition(*task).sortWithinPartitions(*task, "cls")
-    cls = dict(members.dtypes)["cls"]
 
     def apply(batches):
-        names = ["cluster", "lo", "hi", "cls", "copies", "mine", "grams"]
-        for (_, lo, hi), slices in runs(batches, names[:3]):
-            kind = slices[0].schema.field("cls").type
-            columns = {k: [x for s in slices for x in s.column(s.schema.get_field_index(k)).to_pylist()] for k in names[3:]}
-            sets = [np.frombuffer(x, np.uint64) for x in columns["grams"]]
-            copies = np.array(columns["copies"], np.int64)
-            mine = np.array(columns["mine"])
+        for (_, code, lo, hi), slices in runs(batches, task):
+            columns = {k: [x for s in slices for x in s.column(s.schema.get_field_index(k)).to_pylist()] for k in own}
+            cls = np.array(columns["cls"], np.int64)
+            mine = np.where(np.r_[True, cls[1:] != cls[:-1]], columns["mine"], -1)
             left = np.flatnonzero(mine == lo)
-            order = left
+            right = left if lo == hi else np.flatnonzero(mine == hi)
+            if not len(left) or not len(right) or (lo == hi and len(left) < 2):
+                continue
+            todo = np.ones((len(left), len(right)), bool)
+            earlier = [set(c[: c.index(code)]) if c else set() for c in columns["codes"]]
+            if any(earlier):
+                drop_earlier(todo, [earlier[k] for k in left], [earlier[k] for k in right])
             if lo == hi:
-                if len(left) < 2:
-                    continue
-                found = similar([sets[k] for k in left], None, threshold)
-                links = found @ copies[left]
+                np.fill_diagonal(todo, False)
+            rows, others = todo.any(1), todo.any(0)
+            if not rows.any():
+                continue
+            # only those go on that have a pair left
+            todo, left, right = todo[np.ix_(rows, others)], left[rows], right[others]
+            sets = {k: np.frombuffer(columns["grams"][k], np.uint64) for k in {*left.tolist(), *right.tolist()}}
+            found = similar([sets[k] for k in left], None if lo == hi else [sets[k] for k in right], threshold) & todo
+            copies = np.array(columns["copies"], np.int64)
+            if lo == hi:
+                order, links = left, found @ copies[left]
             else:
-                right = np.flatnonzero(mine == hi)
-                if not len(left) or not len(right):
-                    continue
-                found = similar([sets[k] for k in left], [sets[k] for k in right], threshold)
-                links = np.r_[found @ copies[right], copies[left] @ found]
-                order = np.r_[left, right]
+                order, links = np.r_[left, right], np.r_[found @ copies[right], copies[left] @ found]
             label = roots(found, lo == hi)
             hit = np.flatnonzero(links)
             if len(hit):
-                names_of = [columns["cls"][k] for k in order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names_of[k] for k in hit], kind), pa.array(links[hit], pa.int64()), pa.array([names_of[label[k]] for k in hit], kind)],
-                    ["cls", "links", "root"],
-                )
+                of = cls[order]
+                yield pa.RecordBatch.from_arrays([pa.array(of[hit]), pa.array(links[hit], pa.int64()), pa.array(of[label[hit]])], ["cls", "links", "root"])
 
-    return sorted_.mapInArrow(apply, f"cls {cls}, links long, root {cls}")
+    return sorted_.mapInArrow(apply, "cls long, links long, root long")
 
 
-def join_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def join_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """One row for each row of df: doc_id, class_id (least doc_id that links lead to), n_links, n_copies, kept."""
-    sketches = write_table(sketched(df, id_col, text_col, rows, bands), "sketches")
-    # copies are summed before they are shuffled
-    classes = sketches.filter("key is not null").groupBy("key").agg(F.min(F.struct("id", "bands")).alias("s"), F.count("*").alias("copies"))
-    classes = write_table(classes.select("key", F.col("s.id").alias("cls"), F.col("s.bands").alias("bands"), "copies"), "classes")
-    clusters = write_table(candidate_clusters(classes.filter("cls is not null")), "clusters")
-    members = clusters.join(classes.select("cls", "copies"), F.col("node") == F.col("cls")).select("cls", F.col("component").alias("cluster"), "copies")
-    members = write_table(members, "members")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(members.select("cls", "cluster"), F.col("id") == F.col("cls"))
-    grams = texts.select("cls", "cluster", "text").mapInArrow(_sets, f"cls {dict(members.dtypes)['cls']}, cluster {dict(members.dtypes)['cls']}, grams binary")
-    # a class's id may be repeated with other texts; the id is the table's key, so the first will do
-    found = write_table(verify(grams.join(members.select(F.col("cls").alias("c"), "copies"), F.col("cls") == F.col("c")).drop("c")), "links")
-    linked = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    joined = write_table(components(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))), "joined")
-    of_class = classes.select("key", "cls", "copies").join(linked.withColumnRenamed("cls", "l_cls"), F.col("cls") == F.col("l_cls"), "left")
-    of_class = of_class.join(joined, F.col("cls") == F.col("node"), "left").select(
-        F.col("key").alias("c_key"), F.coalesce("component", "cls").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"
-    )
-    of_class = write_table(of_class, "class-results")
+    with scratch():
+        sketches = keep(write_table(sketched(df, id_col, text_col, rows, bands), "sketches"))
+        # copies are summed before they are shuffled
+        classes = sketches.filter("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+        classes = write_table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+        units = write_table(candidate_units(classes.filter("first is not null").select("cls", "bands"), block), "units")
+        wanted = classes.select("cls", "key", "first").join(units.select(F.col("cls").alias("w")).distinct(), F.col("cls") == F.col("w"))
+        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id") == F.col("first"))
+        grams = texts.select("cls", "key", "text").mapInArrow(_sets, "cls long, grams binary").withColumnRenamed("cls", "g_cls")
+        members = units.join(classes.select(F.col("cls").alias("m_cls"), "copies"), F.col("cls") == F.col("m_cls"))
+        members = grams.join(members, F.col("g_cls") == F.col("cls")).select("cls", "unit", "codes", "copies", "grams")
+        found = write_table(verify(members, block), "links")
+        of_class = keep(write_table(class_results(classes, found), "class-results"))
     with_words = sketches.select("id", "key").join(of_class, F.col("key") == F.col("c_key")).select(
         F.col("id").alias("doc_id"), "class_id", "n_links", F.col("copies").alias("n_copies"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
     )
@@ -260,5 +299,15 @@ def join_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     return with_words.unionByName(without)
 
 
+def class_results(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """c_key, class_id, n_links, copies of classes (cls, key, first, copies) with the links found by verify()."""
+    linked = found.groupBy(F.col("cls").alias("l_cls")).agg(F.sum("links").alias("links"))
+    joined = write_table(components(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))), "joined")
+    of_class = classes.join(linked, F.col("cls") == F.col("l_cls"), "left").join(joined, F.col("cls") == F.col("node"), "left")
+    of_class = of_class.select("key", "first", "copies", F.coalesce("component", "cls").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = of_class.groupBy(F.col("component").alias("m_component")).agg(F.min("first").alias("class_id"))
+    return of_class.join(least, F.col("component") == F.col("m_component")).select(F.col("key").alias("c_key"), "class_id", "n_links", "copies")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return join_texts(docs_of(spark, sf_dir))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .ngram_join import roots
+from .ngram_join import drop_earlier, roots
 from .shared import delete_table, keep, runs, scratch, write_table
 
 THRESHOLD = 0.95
@@ -234,17 +234,6 @@ def grow(classes: DataFrame, kind: str = "<f8", trees: int = TREES, leaf: int =
         nodes = places.groupBy(*NODE).agg(F.count("*").alias("n"))
 
 
-def drop_earlier(found: np.ndarray, left: list[set[int]], right: list[set[int]]) -> None:
-    """Clear the pairs of rows and columns of which both are in one earlier leaf."""
-    rows, columns = {}, {}
-    for places, sets in ((rows, left), (columns, right)):
-        for k, codes in enumerate(sets):
-            for code in codes:
-                places.setdefault(code, []).append(k)
-    for code in rows.keys() & columns.keys():
-        found[np.ix_(rows[code], columns[code])] = False
-
-
 def compare(classes: DataFrame, leaves: DataFrame, kind: str = "<f8", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """cls, links, root: links of each class found first in a leaf, counting copies, and its component there."""
     leaves = leaves.select("cls", "size", F.shiftleft("path", 8).bitwiseOR(F.col("tree").cast("long")).alias("leaf"))

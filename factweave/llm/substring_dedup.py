@@ -12,14 +12,17 @@ ANCHOR_GAP consecutive windows of ANCHOR words the one with the least hash is an
 passages have equal anchors inside. Only passages whose anchors another document has too are candidates;
 in every document that has them, their PASSAGE words are compared by 64-bit hashes.
 
-Only repeats across documents count. Defined results: null texts stay null, texts without
-repeats stay as they are; a text that is all repeats becomes empty; documents with one id count as
-one document; rows that repeat wholly each get the same result.
+Only repeats across documents count. Lines of under LEAST_WORDS words are no paragraphs: short lines
+recur by chance or convention, and a passage of over 50 words that spans them is found word by word.
+
+Defined results: null texts stay null, texts without repeats stay as they are; a text that is all
+repeats becomes empty; rows with one id count as one document, each cut at its own places; rows with
+a null id count as one document that comes after all others; rows that repeat wholly get the same
+result each; a column `spans` of the input is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -27,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import components
-from .ngram_join import MinHash, ngram_set, verify, word_hashes, candidate_clusters
-from .shared import docs_of, write_table
+from .ngram_join import MinHash, candidate_units, class_key, ngram_set, verify, word_hashes
+from .shared import docs_of, fresh, keep, scratch, write_table
 
 LEAST_WORDS = 40
 ROWS, BANDS = 4, 12
@@ -91,7 +94,7 @@ def _described(least_words: int, rows: int, bands: int):
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 paragraphs, marks, sets, where = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     text = text or ""
                     words, start, end = words_of(text)
                     hashes = word_hashes(words, memo)
@@ -101,8 +104,7 @@ def _described(least_words: int, rows: int, bands: int):
                         last = first + len(line)
                         lo, hi = np.searchsorted(start, [first, last])
                         if hi - lo >= least_words:
-                            key = hashlib.blake2b(" ".join(words[lo:hi]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                            own.append({"line": number, "start": first, "end": last, "key": key})
+                            own.append({"line": number, "start": first, "end": last, "key": class_key(words[lo:hi])})
                             sets.append(ngram_set(hashes[lo:hi]))
                             where.append(own[-1])
                         first = last + 1
@@ -115,60 +117,62 @@ def _described(least_words: int, rows: int, bands: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array(paragraphs, pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))]))),
                         pa.array(marks, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "paragraphs", "anchors"],
+                    ["doc", "text_key", "paragraphs", "anchors"],
                 )
 
     return apply
 
 
 def _grams(batches):
-    """cls, cluster, grams of paragraphs."""
+    """cls, grams of paragraphs."""
     memo: dict[str, int] = {}
     for batch in batches:
-        sets = [ngram_set(word_hashes(words_of(t)[0], memo)).tobytes() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["cls", "cluster", "grams"])
+        sets = [ngram_set(word_hashes(words_of(t)[0], memo)).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "grams"])
+
+
+ROW = ["doc", "text_key"]
 
 
 def paragraph_spans(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """doc_id, start, end of paragraphs to remove; paragraphs: doc_id, line, start, end, key, bands."""
-    place = F.struct("doc_id", "line", "start", "end")
-    classes = paragraphs.groupBy(F.col("key").alias("cls")).agg(
-        F.min(place).alias("first"), F.max("doc_id").alias("most"), F.count("*").alias("copies"), F.min_by("bands", place).alias("bands")
-    )
-    classes = write_table(classes, "paragraph-classes")
-    clusters = write_table(candidate_clusters(classes), "paragraph-clusters")
-    members = clusters.join(classes.select("cls", "first", "copies"), F.col("node") == F.col("cls")).select("cls", F.col("component").alias("cluster"), "first", "copies")
-    members = write_table(members, "paragraph-members")
-    wanted = members.select("cls", "cluster", F.col("first.doc_id").alias("w_id"), F.col("first.start").alias("start"), F.col("first.end").alias("end"))
+    """doc, text_key, start, end of paragraphs to remove; paragraphs: doc, text_key, line, start, end, key, bands."""
+    place = F.struct("doc", "line", "text_key", "start", "end")
+    classes = paragraphs.groupBy("key").agg(F.min(place).alias("first"), F.max("doc").alias("most"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = write_table(classes.withColumn("cls", F.monotonically_increasing_id()), "paragraph-classes")
+    units = write_table(candidate_units(classes.select("cls", "bands")), "paragraph-units")
+    wanted = classes.join(units.select(F.col("cls").alias("w")).distinct(), F.col("cls") == F.col("w"))
+    wanted = wanted.select("cls", F.col("first.doc").alias("w_doc"), F.col("first.text_key").alias("w_key"), F.col("first.start").alias("start"), F.col("first.end").alias("end"))
     # only the paragraph goes to Python: a document with many would go there whole for each
     paragraph = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("paragraph")
-    texts = docs.filter("text is not null").join(wanted, F.col("doc_id") == F.col("w_id")).select("cls", "cluster", paragraph)
-    grams = texts.mapInArrow(_grams, "cls binary, cluster binary, grams binary")
-    grams = grams.join(members.select(F.col("cls").alias("c"), "copies"), F.col("cls") == F.col("c")).drop("c")
-    found = write_table(verify(grams), "paragraph-links")
+    texts = docs.filter("text is not null").join(wanted, (F.col("doc") == F.col("w_doc")) & (F.col("text_key") == F.col("w_key"))).select("cls", paragraph)
+    grams = texts.mapInArrow(_grams, "cls long, grams binary").withColumnRenamed("cls", "g_cls")
+    members = units.join(classes.select(F.col("cls").alias("m_cls"), "copies"), F.col("cls") == F.col("m_cls"))
+    members = grams.join(members, F.col("g_cls") == F.col("cls")).select("cls", "unit", "codes", "copies", "grams")
+    found = write_table(verify(members), "paragraph-links")
     joined = write_table(components(found.select(F.col("cls").alias("u"), F.col("root").alias("v"))), "paragraph-joined")
-    grouped = classes.select("cls", "first", "most").join(joined, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
-    groups = grouped.groupBy("grp").agg(F.min("first").alias("stays"), F.max("most").alias("most")).filter("stays.doc_id != most").withColumnRenamed("grp", "g")
+    grouped = classes.select("cls", "key", "first", "most").join(joined, F.col("cls") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "cls"))
+    groups = grouped.groupBy(F.col("grp").alias("g")).agg(F.min("first").alias("stays"), F.max("most").alias("most")).filter("stays.doc != most")
     groups = write_table(groups, "paragraph-groups")
-    removable = write_table(grouped.select("cls", "grp").join(groups, F.col("grp") == F.col("g")).select("cls", F.col("stays.doc_id").alias("s_doc"), F.col("stays.line").alias("s_line")), "removable")
-    hit = paragraphs.join(removable, F.col("key") == F.col("cls"))
-    return hit.filter("doc_id != s_doc or line != s_line").select("doc_id", "start", "end")
+    removable = grouped.join(groups, F.col("grp") == F.col("g")).select(F.col("key").alias("r_key"), F.col("stays.doc").alias("s_doc"), F.col("stays.line").alias("s_line"))
+    hit = paragraphs.join(write_table(removable, "removable"), F.col("key") == F.col("r_key"))
+    return hit.filter("doc != s_doc or line != s_line").select(*ROW, "start", "end")
 
 
-PASSAGES = "doc_id long, hashes array<bigint>, starts array<int>, ends array<int>"
+PASSAGES = "doc long, text_key long, hashes array<bigint>, starts array<int>, ends array<int>"
 
 
 def _passages(batches):
-    """doc_id, hashes, starts, ends of the candidates of texts (doc_id, text, shared anchors)."""
+    """doc, text_key, hashes, starts, ends of the candidates of texts (doc, text_key, text, shared anchors)."""
     memo: dict[str, int] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
             part = batch.slice(at, 100)
-            out = ([], [], [], [])
-            for doc, text, known in zip(*(c.to_pylist() for c in part.columns)):
+            out = ([], [], [], [], [])
+            for doc, key, text, known in zip(*(c.to_pylist() for c in part.columns)):
                 words, start, end = words_of(text)
                 mixed = window_hashes(word_hashes(words, memo))
                 pos = anchors(mixed)
@@ -178,36 +182,36 @@ def _passages(batches):
                     continue
                 # windows that cover the passage together
                 cover = [mixed[first + k] for k in (*range(0, PASSAGE - ANCHOR, ANCHOR), PASSAGE - ANCHOR)]
-                out[0].append(doc)
-                out[1].append(window_hashes(np.stack(cover, 1).ravel(), len(cover))[:: len(cover)].view(np.int64))
-                out[2].append(start[first])
-                out[3].append(end[first + PASSAGE - 1])
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "hashes", "starts", "ends"])
+                hashes = window_hashes(np.stack(cover, 1).ravel(), len(cover))[:: len(cover)].view(np.int64)
+                for column, value in zip(out, (doc, key, hashes, start[first], end[first + PASSAGE - 1])):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [*ROW, "hashes", "starts", "ends"])
 
 
 def _joined(batches):
-    """doc_id, start, end of spans (doc_id, spans), those that overlap as one."""
+    """doc, text_key, start, end of spans (doc, text_key, spans), those that overlap as one."""
     for batch in batches:
-        rows = [(doc, a, b) for doc, spans in zip(*(c.to_pylist() for c in batch.columns)) for a, b in merged([(s["start"], s["end"]) for s in spans])]
-        ids, starts, ends = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start", "end"])
+        rows = [(doc, key, a, b) for doc, key, spans in zip(*(c.to_pylist() for c in batch.columns)) for a, b in merged([(s["start"], s["end"]) for s in spans])]
+        columns = zip(*rows) if rows else ((), (), (), ())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [*ROW, "start", "end"])
 
 
 def passage_spans(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """doc_id, start, end of passages that an earlier document has too; marks: doc_id, hash of anchors."""
-    ends = (F.min("doc_id").alias("first"), F.max("doc_id").alias("most"))
+    """doc, text_key, start, end of passages that an earlier document has too; marks: doc, text_key, hash of anchors."""
+    ends = (F.min("doc").alias("first"), F.max("doc").alias("most"))
     common = write_table(marks.groupBy("hash").agg(*ends).filter("first != most").select(F.col("hash").alias("s_hash")), "shared-anchors")
-    known = marks.join(common, F.col("hash") == F.col("s_hash")).groupBy(F.col("doc_id").alias("k_id")).agg(F.collect_set("hash").alias("known"))  # at most a document's own
-    texts = docs.filter("text is not null").join(known, F.col("doc_id") == F.col("k_id")).select("doc_id", "text", "known")
+    known = marks.join(common, F.col("hash") == F.col("s_hash")).groupBy(F.col("doc").alias("k_doc"), F.col("text_key").alias("k_key")).agg(F.collect_set("hash").alias("known"))  # at most a document's own
+    texts = docs.filter("text is not null").join(known, (F.col("doc") == F.col("k_doc")) & (F.col("text_key") == F.col("k_key"))).select(*ROW, "text", "known")
     found = write_table(texts.mapInArrow(_passages, PASSAGES), "passages")
-    hashes = found.select("doc_id", F.explode("hashes").alias("hash"))
+    hashes = found.select("doc", F.explode("hashes").alias("hash"))
     earlier = hashes.groupBy("hash").agg(*ends).filter("first != most").select(F.col("hash").alias("e_hash"), "first")
     earlier = write_table(earlier, "shared-passages")
-    rows = found.select("doc_id", F.explode(F.arrays_zip("hashes", "starts", "ends")).alias("p")).select("doc_id", F.col("p.hashes").alias("hash"), F.col("p.starts").alias("start"), F.col("p.ends").alias("end"))
-    hit = rows.join(earlier, F.col("hash") == F.col("e_hash")).filter("doc_id > first")
-    spans = hit.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # at most a document's own words
-    return spans.mapInArrow(_joined, "doc_id long, start int, end int")
+    rows = found.select(*ROW, F.explode(F.arrays_zip("hashes", "starts", "ends")).alias("p")).select(*ROW, F.col("p.hashes").alias("hash"), F.col("p.starts").alias("start"), F.col("p.ends").alias("end"))
+    hit = rows.join(earlier, F.col("hash") == F.col("e_hash")).filter("doc > first")
+    spans = hit.groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most a document's own words
+    return spans.mapInArrow(_joined, "doc long, text_key long, start int, end int")
 
 
 def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -233,33 +237,46 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+LAST = (1 << 63) - 1
+
+
+def doc_key(id_col: str = "doc_id"):
+    """What stands for a row's document; null ids come last."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+
+
 def spans_of(docs: DataFrame, least_words: int = LEAST_WORDS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, spans (an array of start and end) of the documents that have something to remove."""
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    schema = f"doc_id long, paragraphs {PARAGRAPH}, anchors {ANCHORS}"
-    described = write_table(docs.mapInArrow(_described(least_words, rows, bands), schema), "described")
-    paragraphs = described.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
-    marks = described.select("doc_id", F.explode("anchors").alias("hash"))
-    spans = write_table(paragraph_spans(docs, paragraphs).unionByName(passage_spans(docs, marks)), "spans")
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with repeats cut out of the column text, and the column spans (null where there are none)."""
-    found = spans_of(docs).withColumnRenamed("doc_id", "span_doc_id").withColumnRenamed("spans", "found_spans")
-    joined = docs.join(found, F.col("doc_id") == F.col("span_doc_id"), "left")
-    names = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*names, "text").schema.add("spans", SPANS)
+    """doc, text_key, spans (an array of start and end) of the texts that have something to remove."""
+    docs = docs.select(doc_key().alias("doc"), F.xxhash64("text").alias("text_key"), "text")
+    schema = f"doc long, text_key long, paragraphs {PARAGRAPH}, anchors {ANCHORS}"
+    with scratch():
+        described = write_table(docs.mapInArrow(_described(least_words, rows, bands), schema), "described")
+        paragraphs = described.select(*ROW, F.explode("paragraphs").alias("p")).select(*ROW, "p.*")
+        marks = described.select(*ROW, F.explode("anchors").alias("hash"))
+        spans = paragraph_spans(docs, paragraphs).unionByName(passage_spans(docs, marks))
+        spans = spans.groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        return keep(write_table(spans, "spans"))
+
+
+def dedup(docs: DataFrame, spans_col: str = "spans") -> DataFrame:
+    """docs with repeats cut out of the column text, and the column `spans_col` (null where there are none)."""
+    found = spans_of(docs)
+    names = [c for c in docs.columns if c.lower() != spans_col.lower()]
+    doc, key, spans = (fresh(docs, k) for k in ("span_doc", "span_key", "found_spans"))
+    found = found.select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(spans))
+    joined = docs.join(found, (doc_key() == F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
+    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField(spans_col, SPANS)])
+    at = names.index("text")
 
     def apply(batches):
         for batch in batches:
-            texts, spans = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            pairs = [merged([(s["start"], s["end"]) for s in x or []]) for x in spans]
-            new = pa.array([cut(t, p) for t, p in zip(texts, pairs)], pa.string())
-            kept = pa.array([[{"start": a, "end": b} for a, b in p] or None for p in pairs], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], new, kept], [*names, "text", "spans"])
+            columns = batch.columns
+            pairs = [merged([(s["start"], s["end"]) for s in x or []]) for x in columns[-1].to_pylist()]
+            columns[at] = pa.array([cut(t, p) for t, p in zip(columns[at].to_pylist(), pairs)], pa.string())
+            columns[-1] = pa.array([[{"start": a, "end": b} for a, b in p] or None for p in pairs], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays(columns, [*names, spans_col])
 
-    return joined.select(*names, "text", "found_spans").mapInArrow(apply, schema)
+    return joined.select(*names, spans).mapInArrow(apply, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

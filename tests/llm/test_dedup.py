@@ -67,18 +67,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_ngram_join(spark):
+@pytest.mark.parametrize("block", [768, 3])
+def test_ngram_join(spark, block):
     texts = []
     for _ in range(25):
         base = words(rng.randrange(3, 260))
         texts.append(" ".join(base))
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(12)):
             near = list(base)
             for _ in range(rng.randrange(1, 6)):
                 near[rng.randrange(len(near))] = rng.choice(VOCABULARY)
             texts.append(rng.choice([" ", ", ", " \n"]).join(near).upper())
     texts += [texts[0], texts[0] + ".", None, "", "...", None, "one", "ONE"]
-    got = {r.doc_id: r for r in ngram_join.join_texts(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in ngram_join.join_texts(frame(spark, texts), block=block).collect()}
     assert len(got) == len(texts)
     sets = {}
     for k, t in enumerate(texts):
@@ -91,6 +92,32 @@ def test_ngram_join(spark):
     assert ngram_join.join_texts(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    base = words(100)
+    near = base[:50] + ["new"] + base[51:]
+    a, b, c = " ".join(base), " ".join(near), " ".join(words(50))
+    rows = [(None, a), (1, a), (2, a), (3, b), (3, c), (3, b), (None, c + " more"), (None, None), (None, c + " MORE")]
+    df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, cls int, key string")
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.kept) for r in ngram_join.join_texts(df).collect()), key=str)
+    wanted = [(None, 1, 4, False), (1, 1, 4, True), (2, 1, 4, False), (3, 1, 4, False), (3, 3, 0, True), (3, 1, 4, False), (None, None, 1, True), (None, None, 0, True), (None, None, 1, True)]
+    assert got == sorted(wanted, key=str)
+
+
+def test_hot_group_by_buckets(spark):
+    """One large group of near copies, far over a block: the same links as brute force."""
+    base = words(120)
+    texts = []
+    for k in range(150):
+        near = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            near[rng.randrange(len(near))] = rng.choice(VOCABULARY)
+        texts.append(" ".join(near))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    links = [sum(5 * len(x & y) >= 4 * len(x | y) for j, y in enumerate(sets) if i != j) for i, x in enumerate(sets)]
+    got = {r.doc_id: r.n_links for r in ngram_join.join_texts(frame(spark, texts), block=16).collect()}
+    assert [got[k] for k in range(150)] == links
+
+
 def test_ngram_join_has_a_row_for_each_document(spark):
     texts = ["\u2764\ufe0f", "\U0001f468\u200d\U0001f469", "\u0301", "\u00bd", "\u00b2", "\u2461", "\u00bd", "plain", None, "", "..."]
     got = [(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join.join_texts(frame(spark, texts)).collect()]
@@ -98,11 +125,11 @@ def test_ngram_join_has_a_row_for_each_document(spark):
     assert sorted(got) == [(k, *copies.get(k, (k, 0, 1))) for k in range(len(texts))]
 
 
-def test_blocks_of_a_large_cluster(spark):
+def test_blocks_of_a_large_unit(spark):
     sets = [np.arange(100 + k % 3, dtype=np.uint64) for k in range(50)] + [np.arange(900, 1000, dtype=np.uint64)]
-    rows = spark.createDataFrame([(k, 0, 1, bytearray(s.tobytes())) for k, s in enumerate(sets)], "cls long, cluster long, copies long, grams binary")
+    rows = spark.createDataFrame([(k, (1, 5), [4, 5] if k < 10 else [5], 1, bytearray(s.tobytes())) for k, s in enumerate(sets)], "cls long, unit struct<kind:int,code:long>, codes array<bigint>, copies long, grams binary")
     links = {r.cls: r.links for r in ngram_join.verify(rows, block=8).groupBy("cls").agg(F.sum("links").alias("links")).collect()}
-    assert links == {k: 49 for k in range(50)}
+    assert links == {k: 40 if k < 10 else 49 for k in range(50)}  # the first ten have met in unit 4
 
 
 def test_substring_dedup(spark):
@@ -272,12 +299,100 @@ def test_pipeline_stages(spark, tmp_path):
 
     base = words(120)
     texts = [" ".join(base), " ".join(base), " ".join(base[:60] + ["new"] + base[61:]), None, "123", " ".join(words(100)), " ".join(words(30)) + "\n" + " ".join(words(80))]
-    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = []
+    clashing = ["spans", "kept_doc_id", "span_doc", "found_spans", "cut_spans", "cls", "key", "id", "unit", "digest", "t_id", "bands"]
+    rows = [(k, t, "en" if k != 5 else None, "s", len(t or ""), *range(len(clashing))) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {c} long" for c in clashing))
+    columns, kept = docs.columns, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.columns == columns
         kept.append(sorted(r.doc_id for r in docs.select("doc_id").collect()))
     assert kept == [[0, 1, 2, 5, 6], [1, 2, 5, 6], [1, 5, 6], [1, 5, 6]]
+    assert {(r.spans, r.bands, r.lang) for r in docs.collect()} == {(0, 11, "en")}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == {1, 5, 6}
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0
+        docs = out if "text" in out.columns else docs
+
+
+def test_language_stage_removes_by_language(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    german, english = ["der", "die", "und", "nicht", "zwischen", "schon", "über"], ["the", "and", "which", "through", "would", "there", "thing"]
+    rows = [(k, " ".join(rng.choices(german if k % 2 else english, k=40)), None if k % 10 > 7 else "de" if k % 2 else "en", "s", 0) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ["en"])
+    got = corpus_pipeline.language(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 200, 2)) and {r.lang for r in got} == {"en"}
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", None)
+    assert corpus_pipeline.language(spark, docs, str(tmp_path)).count() == 200
+
+
+def test_repeated_and_null_ids(spark):
+    passage, one, two = words(60), words(70), words(80)
+    texts = [(1, " ".join(one) + "\n" + " ".join(passage)), (2, " ".join(words(20) + passage + words(10))), (2, " ".join(two)), (None, " ".join(two)), (None, None), (None, " ".join(two))]
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in texts], "doc_id long, text string, text_key string, doc long")
+    got = {(r.doc_id, i) for i, r in enumerate(sorted(substring_dedup.dedup(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")))}
+    assert len(got) == 6
+    rows = substring_dedup.dedup(df).collect()
+    left = {(r.doc_id, r.text) for r in rows}
+    assert (1, texts[0][1]) in left and (2, texts[2][1]) in left and (None, "") in left and (None, None) in left
+    assert any(r.doc_id == 2 and r.text == texts[1][1].replace(" ".join(passage), "") for r in rows)
+    exact = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup(df).collect()}
+    assert exact == {(1, 1, 1), (2, 2, 1), (2, 2, 3), (None, 2, 3), (None, None, 1)}
+
+
+def all_repeats(texts):
+    """Brute force: spans of lines that are near copies of an earlier document's, and of 51 words that an earlier document has."""
+    lines, grams = [], {}
+    for doc, text in enumerate(texts):
+        at = 0
+        for number, line in enumerate((text or "").split("\n")):
+            w = ngram_join.normalised(line)
+            if len(w) >= substring_dedup.LEAST_WORDS:
+                lines.append((doc, number, at, at + len(line), {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}))
+            at += len(line) + 1
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 5 * len(lines[a][4] & lines[b][4]) >= 4 * len(lines[a][4] | lines[b][4])]
+    group = closure(range(len(lines)), pairs)
+    members = {}
+    for k, root in group.items():
+        members.setdefault(root, []).append(k)
+    out = {doc: [] for doc in range(len(texts))}
+    for ks in members.values():
+        if len({lines[k][0] for k in ks}) > 1:
+            for k in sorted(ks)[1:]:
+                out[lines[k][0]].append(lines[k][2:4])
+    for doc, text in enumerate(texts):
+        w, start, end = substring_dedup.words_of(text or "")
+        for i in range(len(w) - 50):
+            if grams.setdefault(tuple(w[i : i + 51]), doc) < doc:
+                out[doc].append((int(start[i]), int(end[i + 50])))
+    return {doc: substring_dedup.merged(spans) for doc, spans in out.items()}
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    pool = [words(n) for n in (60, 52, 75, 120, 45, 45, 90)]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            kind, base = rng.random(), list(rng.choice(pool))
+            if kind < 0.3:
+                base = words(rng.randrange(5, 90))
+            elif kind < 0.5:
+                base = words(rng.randrange(5, 40)) + base + words(rng.randrange(5, 40))
+            elif kind < 0.7:
+                base[rng.randrange(len(base))] = rng.choice(VOCABULARY)
+            lines.append(" ".join(base))
+        texts.append("\n".join(lines))
+    texts += [None, ""]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans or []] for r in substring_dedup.dedup(frame(spark, texts)).collect()}
+    assert got == all_repeats(texts)
