@@ -6,13 +6,13 @@ locator of its content. The state lies in RocksDB on disk, has no watermark and
 a later stream that starts from the same checkpoint carries on with it. Rows of a hot digest are
 summed before they are shuffled.
 
-A digest that more than one row has is a hit. Each row of a hit is compared with the full bytes of
-the row that stays; rows whose bytes differ (a collision) are grouped by their bytes instead.
+A digest that more than one row has is a hit. Identifier and locator find the contents of hits, and
+each row of a hit is compared with the full bytes of the row that stays; rows whose bytes differ (a collision) are grouped by their bytes instead.
 
 Texts are equal when identical after lower-casing A-Z only. Defined results: null counts as the
 empty text, and all empty texts are one group; the largest id stays, a null id only where no other
 is; an empty table gives no rows; repeated rows with one id each get a row, all count, and all are
-marked alike. A repeated id whose texts differ is no case of this operator: the id is the table's key.
+marked alike; rows that repeat an id with other texts belong each to the group of its own text.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import docs_of, new_path, write_table
+from .shared import docs_of, keep, new_path, scratch, setting, write_table
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bytes of staged digests that one micro-batch takes in at most.
@@ -48,10 +48,12 @@ def _digests(digest_bytes: int):
 
 
 def _bytes(batches):
+    """digest, doc_id, data of rows (digest, doc_id, text); a row that has the id, but another text, goes."""
     for batch in batches:
-        yield pa.RecordBatch.from_pydict({
-            "digest": batch.column(0), "doc_id": batch.column(1), "data": pa.array([normalised(x) for x in batch.column(2).to_pylist()], pa.binary())
-        })
+        digests, data = batch.column(0).to_pylist(), [normalised(x) for x in batch.column(2).to_pylist()]
+        right = pa.array([hashlib.sha256(x).hexdigest().startswith(d) for d, x in zip(digests, data)], pa.bool_())
+        found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["digest", "doc_id", "data"])
+        yield found.filter(right)
 
 
 def locator(df: DataFrame):
@@ -76,17 +78,16 @@ def run_state(spark: SparkSession, stream: DataFrame, registry: str, checkpoint:
 
     Each row of the registry holds a digest's state after a batch; current() keeps the last one.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    # else each of the many small stores sets megabytes of its logs aside beforehand
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator", "n_bytes")).alias("stays"), F.count("*").alias("n"))
 
     def sink(batch: DataFrame, number: int) -> None:
         # overwriting the batch's own folder makes a repeated batch harmless
         batch.select("digest", F.col("stays.doc_id").alias("stays_id"), F.col("stays.locator").alias("locator"), F.col("stays.n_bytes").alias("n_bytes"), "n").write.mode("overwrite").parquet(f"{registry}/batch={number}")
 
-    query = stream_writer(state, sink, checkpoint)
-    query.awaitTermination()
+    store = "spark.sql.streaming.stateStore."
+    # with its logs, each of the many small stores would set megabytes aside beforehand
+    with setting(spark, store + "providerClass", PROVIDER), setting(spark, store + "rocksdb.allowFAllocate", "false"):
+        stream_writer(state, sink, checkpoint).awaitTermination()
 
 
 def stream_writer(state: DataFrame, sink, checkpoint: str):
@@ -102,30 +103,30 @@ def current(spark: SparkSession, registry: str) -> DataFrame:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, bytes_per_batch: int = BYTES_PER_BATCH) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row for each row of df."""
     spark = df.sparkSession
-    rows = write_table(digest_rows(df, id_col, text_col, digest_bytes), "digests")
-    if not rows.inputFiles():
-        return _empty(spark)
-    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(folder)
-    registry = new_path(spark, "registry")
-    run_state(spark, stream.select("digest", "doc_id", "locator", "n_bytes"), registry, new_path(spark, "stream"))
-    state = write_table(current(spark, registry), "state")
-
-    hits = state.filter("n > 1").select("digest", "stays_id", F.col("n_bytes").alias("stays_bytes"))
-    members = rows.join(hits, "digest").select("digest", F.col("doc_id").alias("id"), "stays_id")
-    # the texts of hits only; a row's id finds its content
-    wanted = members.select("id", "digest", "stays_id").distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("digest", texts["id"], "text")
-    found = texts.mapInArrow(_bytes, "digest string, doc_id long, data binary")
-    verified = _differing(spark, found, hits)
+    with scratch():
+        rows = keep(write_table(digest_rows(df, id_col, text_col, digest_bytes), "digests"))
+        if rows.isEmpty():
+            return _empty(spark)
+        stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(rows.shared_path)
+        registry = new_path(spark, "registry")
+        run_state(spark, stream.select("digest", "doc_id", "locator", "n_bytes"), registry, new_path(spark, "stream"))
+        state = keep(write_table(current(spark, registry), "state"))
+
+        hits = state.filter("n > 1").select("digest", "stays_id", F.col("n_bytes").alias("stays_bytes"))
+        # the texts of hits only, found by id and locator
+        wanted = rows.join(hits.select("digest"), "digest").select(F.col("doc_id").alias("id"), F.col("locator").alias("w_locator"), "digest").distinct()
+        texts = df.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).alias("text"), locator(df).alias("t_locator"))
+        texts = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("id")) & F.col("t_locator").eqNullSafe(F.col("w_locator"))).select("digest", F.col("t_id").alias("doc_id"), "text")
+        differing = _differing(texts.mapInArrow(_bytes, "digest string, doc_id long, data binary"), hits)
+        if differing is not None:
+            keep(differing)
     plain = rows.join(state.select("digest", "stays_id", "n"), "digest").select(
         "doc_id", F.col("stays_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("stays_id")).alias("kept"), "text_sha256"
     )
-    return plain if verified is None else _regrouped(rows, state, verified)
+    return plain if differing is None else _regrouped(rows, state, differing)
 
 
-def _differing(spark: SparkSession, found: DataFrame, hits: DataFrame) -> DataFrame | None:
+def _differing(found: DataFrame, hits: DataFrame) -> DataFrame | None:
     """Rows of hits whose bytes are not those of the row that stays: digest, doc_id, data; None where there are none."""
     found = write_table(found, "hits")
     f, h = found.alias("f"), hits.alias("h")
