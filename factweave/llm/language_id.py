@@ -5,12 +5,14 @@ family, others tell its languages apart. Texts are hashed counts of byte 2- and
 rooted and scaled to length 1, of the whole lower-cased text.
 
 The machines are fitted on a bounded sample: about `per_language` labelled documents of each
-language, drawn by a hash of the id. Everything else reads all rows. The fitted weights are a few
-hundred kilobytes for each pair of languages and travel with the tasks.
+language, drawn by a hash of the id, for the `most_languages` commonest labels; rarer labels, as dirty
+tables have them, are not learned. Everything else reads all rows. The fitted weights are 16 KB for
+each pair of families, or of languages in one family, and travel with the tasks.
 
 Defined results: a null text, or one without a letter, gets `und` and score 0; rows without a label
 are not learned from; without any label every text gets `und`; a single language needs no machine
-and gets score 1; equal texts get equal results.
+and gets score 1; equal texts and repeated ids get equal results, as the text alone decides; a null id
+is not held out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .shared import docs_of
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 600
+MOST_LANGUAGES = 100
 UNKNOWN = "und"
 #: Language codes of each family. A code that is not listed is a family by itself.
 FAMILIES = {
@@ -131,10 +134,11 @@ def _featurise(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model of the labelled rows that are not held out, from about per_language rows of each language."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
+    """A model of the labelled rows that are not held out, from about per_language rows of each of the commonest languages."""
     labelled = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in counts.collect()}  # a row a language
     if not counts:
         return None
     share = F.lit(0.0)
@@ -151,6 +155,17 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return Model(x, [r["lang"] for r in rows])
 
 
+def classify(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, by one product for all that have a letter."""
+    known = [k for k, t in enumerate(texts) if model is not None and has_letter(t)]
+    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if known:
+        names, score[known] = model.predict(np.stack([features(texts[k]) for k in known]))
+        for k, name in zip(known, names):
+            lang[k] = name
+    return lang, score
+
+
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row."""
 
@@ -158,16 +173,10 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = part.column(2).to_pylist()
-                known = [k for k, t in enumerate(texts) if model is not None and has_letter(t)]
-                lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if known:
-                    names, score[known] = model.predict(np.stack([features(texts[k]) for k in known]))
-                    for k, name in zip(known, names):
-                        lang[k] = name
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
-
-    rows = df.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+                lang, score = classify(model, part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(apply, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -176,14 +185,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
-def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs without the rows whose text has no language (und); all columns stay as they are."""
+def accepted(docs: DataFrame, model: Model | None, wanted: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
+    """docs whose predicted language is among those wanted (None: any but und), with at least that score; a null lang becomes the prediction."""
     schema = docs.schema
-    at = schema.names.index("text")
+    at, label = schema.names.index("text"), schema.names.index("lang") if "lang" in schema.names else None
 
     def apply(batches):
         for batch in batches:
-            keep = [model is not None and has_letter(t) and model.predict(features(t)[None])[0][0] != UNKNOWN for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                lang, score = classify(model, part.column(at).to_pylist())
+                right = [k != UNKNOWN and (wanted is None or k in wanted) and s >= least_score for k, s in zip(lang, score)]
+                columns = part.columns
+                if label is not None:
+                    columns[label] = pa.array([old if old is not None else new for old, new in zip(columns[label].to_pylist(), lang)], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(right, pa.bool_()))
 
     return docs.mapInArrow(apply, schema)
