@@ -12,7 +12,8 @@ Prefix sums run on two levels, over cells of a queue and over blocks of windows,
 sorts a whole source or the whole stream.
 
 Defined results: a null text packs as its end token only; a null source is a queue of its own;
-repeated rows are packed each by itself; an empty table gives no pieces.
+repeated rows and repeated or null ids are packed each row by itself; a very long text
+goes on through as many sequences as it fills; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ END = 1
 LENGTH = 2048
 #: Tokens of a window.
 WINDOW = 64 * LENGTH
-CELLS = 512
+#: Rows of a cell, in which a task sorts a part of a queue.
+CELL_ROWS = 50_000
+LEAST_CELLS = 512
 #: Windows of a block.
 BLOCK = 1024
 MEMO = 600_000
@@ -113,12 +116,14 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, source_col: str, model:
     return write_table(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
-def positions(rows: DataFrame, mixture: dict[str, float] | None = None, window: int = WINDOW, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
+def positions(rows: DataFrame, mixture: dict[str, float] | None = None, window: int = WINDOW, cells: int | None = None, block: int = BLOCK) -> DataFrame:
     """row, first: each row's first token in the stream of all rows.
 
     mixture: target share of each source; by default a source's share of all tokens, with which all
     queues end together. Sources that it leaves out share evenly what it leaves.
     """
+    if cells is None:
+        cells = max(LEAST_CELLS, rows.count() // CELL_ROWS)
     keyed = rows.select("row", "source", "n", F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int").alias("cell"))
     by_cell = keyed.groupBy("source", "cell").agg(F.sum("n").alias("tokens"))
     totals = by_cell.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
