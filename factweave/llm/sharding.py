@@ -7,18 +7,23 @@ rebalancing edits at most `n_slots` small rows and moves whole slots, never sing
 Everything here is built of DataFrame and SQL functions. The map has `n_slots` rows at any input
 size; only it is ever gathered in one row (to deal slots out largest first) and broadcast.
 
-Law: `bytes`. Shards get near-equal bytes, as near as the largest slot allows.
+Law: `bytes`. Shards get near-equal bytes, as near as the largest slot allows. Slots come from ids, so
+a group of equal texts goes to many shards: kept together, a group that holds a third of all bytes
+would break the law. Readers find groups by text_crc32 and size.
+
+store_map() keeps the versions of a map in a folder, current_map() reads the latest, and rebalance()
+edits it; a record's slot never changes.
 
 Defined results: a null text weighs the overhead only; an empty table gives an empty map and no
-rows; rows with a null id share the slot of the null key; equal rows share a slot and take
-different places in it.
+rows; rows with a null id go to the slots of their texts; equal rows share a slot and take different
+places in it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .shared import docs_of, write_table
+from .shared import docs_of, new_path, write_table
 
 N_SLOTS = 4096
 N_SHARDS = 24
@@ -36,7 +41,7 @@ def manifest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sl
         F.col(id_col).alias("doc_id"),
         (F.octet_length(data) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-        slot_of(F.col(id_col), n_slots).alias("virtual_slot"),
+        slot_of(F.when(F.col(id_col).isNull(), F.xxhash64(data)).otherwise(F.col(id_col).cast("long")), n_slots).alias("virtual_slot"),
     )
 
 
@@ -114,11 +119,37 @@ def assign(rows: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.withColumn("rank", rank).join(F.broadcast(slots), "virtual_slot").withColumn("slot", F.col("first") + F.col("rank") - 1)
 
 
-def shard(df: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(records with shard and place, stored map); the records are kept in the shared folder without their texts."""
+def store_map(slot_map: DataFrame, folder: str) -> int:
+    """Write a map as its version's file in a folder; returns the version. A version that is there already stays as it is."""
+    version = slot_map.agg(F.max("version")).first()[0] or 1
+    slot_map.select("virtual_slot", "shard").coalesce(1).write.mode("ignore").parquet(f"{folder}/version={version}")
+    return version
+
+
+def current_map(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest version of the map in a folder."""
+    versions = spark.read.schema("virtual_slot int, shard int, version int").parquet(folder)
+    return versions.join(F.broadcast(versions.agg(F.max("version").alias("latest"))), F.col("version") == F.col("latest")).drop("latest")
+
+
+def shard(df: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records with shard and place, the map stored in the folder); the records are kept in the shared folder without their texts.
+
+    A folder that has a map already gives it: slots that it lacks, or another number of shards, make it rebalance.
+    """
+    spark = df.sparkSession
     rows = write_table(manifest(df, id_col, text_col, n_slots), "manifest")
     sizes = write_table(slot_sizes(rows).coalesce(1), "slot-sizes")
-    slot_map = write_table(initial_map(sizes, n_shards).coalesce(1), "slot-map")
+    path = folder or new_path(spark, "slot-map")
+    old = None
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        old = current_map(spark, path)
+        lacking = sizes.join(old, "virtual_slot", "left_anti").isEmpty()
+        if lacking and old.agg(F.max("shard")).first()[0] == n_shards - 1:
+            return assign(rows, old, sizes), old
+    store_map(initial_map(sizes, n_shards) if old is None else rebalance(old, sizes, n_shards), path)
+    slot_map = current_map(spark, path)
     return assign(rows, slot_map, sizes), slot_map
 
 

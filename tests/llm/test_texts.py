@@ -191,3 +191,73 @@ def test_sharding_law_and_places(spark):
     assert {r.version for r in grown} == {2} and 24 in {r.shard for r in moved}
     assert sum(weight[r.virtual_slot] for r in moved) < 0.06 * sum(weight.values())
     assert sharding.shard(df.limit(0))[0].count() == 0
+
+
+def test_shards_equal_the_rule(spark):
+    """Slots, deal and places as a plain loop gives them."""
+    import xxhash
+
+    texts = ["x" * rng.randrange(0, 4000) for _ in range(700)] + [None, "", "é"]
+    df = frame(spark, texts).withColumn("virtual_slot", F.lit(1)).withColumn("size", F.lit("s"))
+    placed, _ = sharding.shard(df, n_shards=5, n_slots=64)
+    slots = {}
+    for k, t in enumerate(texts):
+        h = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed=42)
+        h -= (h >> 63) << 64
+        slots.setdefault(h % 64, []).append((k, len((t or "").encode()) + 8))
+    loads, shard_of = [0] * 5, {}
+    for slot in sorted(slots, key=lambda s: (-sum(n for _, n in slots[s]), s)):
+        shard_of[slot] = loads.index(min(loads))
+        loads[shard_of[slot]] += sum(n for _, n in slots[slot])
+    wanted, filled = {}, [0] * 5
+    for slot in sorted(slots):
+        for k, size in sorted(slots[slot]):
+            s = shard_of[slot]
+            wanted[k] = (size, zlib.crc32((texts[k] or "").encode()), s, filled[s])
+            filled[s] += 1
+    assert {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in placed.collect()} == wanted
+
+
+def test_shards_of_null_ids(spark):
+    df = spark.createDataFrame([(None, "t%d" % k) for k in range(400)] + [(None, None)] * 3, "doc_id long, text string")
+    rows = sharding.shard(df, n_shards=4)[0].collect()
+    assert len({r.virtual_slot for r in rows}) > 100
+    for shard in range(4):
+        places = sorted(r.slot for r in rows if r.shard == shard)
+        assert places == list(range(len(places)))
+
+
+def test_a_stored_map_is_found_and_edited(spark, tmp_path):
+    folder = f"file://{tmp_path}/map"
+    texts = ["x" * rng.randrange(1, 200) for _ in range(900)]
+    first, _ = sharding.shard(frame(spark, texts), n_shards=6, n_slots=128, folder=folder)
+    again, _ = sharding.shard(frame(spark, texts), n_shards=6, n_slots=128, folder=folder)
+    assert {r.doc_id: r.shard for r in first.collect()} == {r.doc_id: r.shard for r in again.collect()}
+    grown, map_ = sharding.shard(frame(spark, texts), n_shards=7, n_slots=128, folder=folder)
+    assert map_.select("version").distinct().collect()[0][0] == 2
+    old, new = ({r.virtual_slot: r.shard for r in x.collect()} for x in (first, grown))
+    moved = sum(old[k] != new[k] for k in old)
+    assert set(new.values()) == set(range(7)) and moved < len(old) / 3
+    assert old == {r.virtual_slot: r.shard for r in first.collect()}
+
+
+def test_pages_through_spark(spark):
+    pages = [(1, "<p>a</p><p>b</p>", 1), (None, "<ul><li>x", 2), (3, None, 3), (4, "", 4), (1, "<p>a</p><p>b</p>", 5), (6, "<div>" * 3000 + "deep", 6)]
+    df = spark.createDataFrame([(i, "u", h, n, "t") for i, h, n in pages], "page_id long, url string, html string, text long, n_chars string")
+    got = html_layout.extract(df).collect()
+    assert len(got) == len(pages)
+    texts = {r.page_id: r.text for r in got}
+    assert "a" in texts[1] and "b" in texts[1] and "x" in texts[None] and not texts[3] and not texts[4] and "deep" in texts[6]
+    assert html_layout.extract(df.limit(0)).count() == 0
+
+
+def test_tables_without_rows(spark):
+    empty = frame(spark, ["x"]).limit(0)
+    for made in (fst.encoded_digests(empty), fst.encode(empty), packing.pack(empty), language_id.predict(empty, language_id.fit(empty)), sharding.shard(empty)[0]):
+        assert made.count() == 0
+
+
+def test_labels_beyond_the_commonest_are_not_learned(spark):
+    rows = [(k, ("der und nicht " if k % 2 else "the and which ") * 9, "de" if k % 2 else "en") for k in range(60)] + [(100 + k, "zzz", f"dirty{k}") for k in range(20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=2)
+    assert sorted(x for m in model.within.values() for x in m.classes) == ["de", "en"]
