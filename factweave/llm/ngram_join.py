@@ -23,6 +23,7 @@ with its copies only, and its class id is null; an empty table gives no rows; no
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -42,25 +43,51 @@ _words = re.compile(r"\w+").findall
 
 
 def normalised(text: str | None) -> list[str]:
+    """Lower-cased words of a text: what hashed_words() hashes."""
     return _words(text.lower()) if text else []
 
 
-def class_key(words: list[str]) -> bytes | None:
+@functools.cache
+def word_characters() -> np.ndarray:
+    """Whether a code point is a letter, digit or underscore."""
+    return np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)])
+
+
+_GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_powers = np.cumprod(np.full(64, 0x5851F42D4C957F2D, np.uint64))
+
+
+def hashed_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of a text's lower-cased words, the same in every process, and where each starts and ends."""
+    global _powers
+    none = np.zeros(0, np.int64)
+    if not text:
+        return none.astype(np.uint64), none, none
+    lower = text.lower()
+    if len(lower) != len(text):  # a few characters have lower cases of two
+        lower = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    code = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = word_characters()[code]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return none.astype(np.uint64), none, none
+    size = end - start
+    if size.max() > len(_powers):
+        _powers = np.cumprod(np.full(2 * int(size.max()), _powers[0], np.uint64))
+    code = code[inside].astype(np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(len(code)) - np.repeat(first, size)
+    code = (code + np.uint64(1)) * _GOLD
+    code = (code ^ (code >> np.uint64(29))) * _MIX
+    mixed = np.add.reduceat((code ^ (code >> np.uint64(32))) * _powers[place], first) + size.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * _GOLD
+    return mixed ^ (mixed >> np.uint64(29)), start, end
+
+
+def class_key(hashes: np.ndarray) -> bytes | None:
     """The digest of a sequence of words; None where there are none."""
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None
-
-
-def word_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of words, the same in every process."""
-    if len(memo) > 150_000:
-        memo.clear()
-    out = []
-    for w in words:
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        out.append(h)
-    return np.array(out, np.uint64)
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
 
 def ngram_set(hashes: np.ndarray, n: int = NGRAM) -> np.ndarray:
@@ -108,17 +135,17 @@ def sketched(df: DataFrame, id_col: str, text_col: str, rows: int, bands: int) -
     """id, key (of the sequence of words) and band hashes of each text; key and hashes are null where it has no words."""
 
     def apply(batches):
-        hasher, memo = MinHash(rows, bands), {}
+        hasher = MinHash(rows, bands)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 ids, keys, sets, total = [], [], [], 0
                 while at < batch.num_rows and total < 200_000:
-                    words = normalised(batch.column(1)[at].as_py())
+                    words = hashed_words(batch.column(1)[at].as_py())[0]
                     ids.append(batch.column(0)[at].as_py())
                     keys.append(class_key(words))
-                    if words:
-                        sets.append(ngram_set(word_hashes(words, memo)))
+                    if len(words):
+                        sets.append(ngram_set(words))
                     total += len(words)
                     at += 1
                 found = iter(hasher.bands_of(sets).tolist() if sets else [])
@@ -159,11 +186,10 @@ def candidate_units(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _sets(batches):
     """cls, grams of texts (cls, key, text); a row that repeats the id with another text has another key and goes."""
-    memo: dict[str, int] = {}
     for batch in batches:
-        words = [normalised(t) for t in batch.column(2).to_pylist()]
+        words = [hashed_words(t)[0] for t in batch.column(2).to_pylist()]
         right = [class_key(w) == k for w, k in zip(words, batch.column(1).to_pylist())]
-        sets = [ngram_set(word_hashes(w, memo)).tobytes() for w, r in zip(words, right) if r]
+        sets = [ngram_set(w).tobytes() for w, r in zip(words, right) if r]
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(right, pa.bool_())), pa.array(sets, pa.binary())], ["cls", "grams"])
 
 

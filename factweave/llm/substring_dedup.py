@@ -12,6 +12,9 @@ ANCHOR_GAP consecutive windows of ANCHOR words the one with the least hash is an
 passages have equal anchors inside. Only passages whose anchors another document has too are candidates;
 in every document that has them, their PASSAGE words are compared by 64-bit hashes.
 
+A text of PASSAGE words or more whose words are those of an earlier document's is removed whole, before
+its paragraphs and passages are looked at.
+
 Only repeats across documents count. Lines of under LEAST_WORDS words are no paragraphs: short lines
 recur by chance or convention, and a passage of over 50 words that spans them is found word by word.
 
@@ -23,14 +26,13 @@ result each; a column `spans` of the input is replaced; an empty table gives no
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import components
-from .ngram_join import MinHash, candidate_units, class_key, ngram_set, verify, word_hashes
+from .ngram_join import MinHash, candidate_units, class_key, hashed_words, ngram_set, verify
 from .shared import docs_of, fresh, keep, scratch, write_table
 
 LEAST_WORDS = 40
@@ -38,17 +40,6 @@ ROWS, BANDS = 4, 12
 ANCHOR, ANCHOR_GAP = 16, 15
 #: A shared run of more than 50 words is a passage.
 PASSAGE = 51
-_word = re.compile(r"\w+").finditer
-
-
-def words_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Lower-cased words of a text, and where in the text each starts and ends."""
-    found = [(m.group().lower(), m.start(), m.end()) for m in _word(text)]
-    if not found:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words, start, end = zip(*found)
-    return list(words), np.array(start), np.array(end)
-
 
 def window_hashes(hashes: np.ndarray, size: int = ANCHOR) -> np.ndarray:
     """Hashes of all windows of `size` words."""
@@ -89,39 +80,41 @@ ANCHORS = "array<bigint>"
 
 def _described(least_words: int, rows: int, bands: int):
     def apply(batches):
-        hasher, memo = MinHash(rows, bands), {}
+        hasher = MinHash(rows, bands)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                paragraphs, marks, sets, where = [], [], [], []
+                paragraphs, marks, sets, where, whole = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     text = text or ""
-                    words, start, end = words_of(text)
-                    hashes = word_hashes(words, memo)
+                    hashes, start, _ = hashed_words(text)
                     own = []
                     first = 0
                     for number, line in enumerate(text.split("\n")):
                         last = first + len(line)
-                        lo, hi = np.searchsorted(start, [first, last])
-                        if hi - lo >= least_words:
-                            own.append({"line": number, "start": first, "end": last, "key": class_key(words[lo:hi])})
-                            sets.append(ngram_set(hashes[lo:hi]))
-                            where.append(own[-1])
+                        if len(line) >= 2 * least_words - 1:
+                            lo, hi = np.searchsorted(start, [first, last])
+                            if hi - lo >= least_words:
+                                own.append({"line": number, "start": first, "end": last, "key": class_key(hashes[lo:hi])})
+                                sets.append(ngram_set(hashes[lo:hi]))
+                                where.append(own[-1])
                         first = last + 1
                     paragraphs.append(own)
+                    whole.append({"key": class_key(hashes), "end": len(text)} if len(hashes) >= PASSAGE else None)
                     mixed = window_hashes(hashes)
-                    marks.append(np.unique(mixed[anchors(mixed)]).view(np.int64).tolist())
+                    marks.append(np.unique(mixed[anchors(mixed)]).view(np.int64))
                 if sets:
-                    for entry, found in zip(where, hasher.bands_of(sets).tolist()):
+                    for entry, found in zip(where, hasher.bands_of(sets)):
                         entry["bands"] = found
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
+                        pa.array(whole, pa.struct([("key", pa.binary()), ("end", pa.int32())])),
                         pa.array(paragraphs, pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))]))),
                         pa.array(marks, pa.list_(pa.int64())),
                     ],
-                    ["doc", "text_key", "paragraphs", "anchors"],
+                    ["doc", "text_key", "whole", "paragraphs", "anchors"],
                 )
 
     return apply
@@ -129,9 +122,8 @@ def _described(least_words: int, rows: int, bands: int):
 
 def _grams(batches):
     """cls, grams of paragraphs."""
-    memo: dict[str, int] = {}
     for batch in batches:
-        sets = [ngram_set(word_hashes(words_of(t)[0], memo)).tobytes() for t in batch.column(1).to_pylist()]
+        sets = [ngram_set(hashed_words(t)[0]).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cls", "grams"])
 
 
@@ -167,14 +159,13 @@ PASSAGES = "doc long, text_key long, hashes array<bigint>, starts array<int>, en
 
 def _passages(batches):
     """doc, text_key, hashes, starts, ends of the candidates of texts (doc, text_key, text, shared anchors)."""
-    memo: dict[str, int] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
             part = batch.slice(at, 100)
             out = ([], [], [], [], [])
             for doc, key, text, known in zip(*(c.to_pylist() for c in part.columns)):
-                words, start, end = words_of(text)
-                mixed = window_hashes(word_hashes(words, memo))
+                hashes, start, end = hashed_words(text)
+                mixed = window_hashes(hashes)
                 pos = anchors(mixed)
                 pos = pos[np.isin(mixed[pos], np.array(known, np.int64).view(np.uint64))]
                 first = candidates(len(mixed), pos)
@@ -248,12 +239,18 @@ def doc_key(id_col: str = "doc_id"):
 def spans_of(docs: DataFrame, least_words: int = LEAST_WORDS, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc, text_key, spans (an array of start and end) of the texts that have something to remove."""
     docs = docs.select(doc_key().alias("doc"), F.xxhash64("text").alias("text_key"), "text")
-    schema = f"doc long, text_key long, paragraphs {PARAGRAPH}, anchors {ANCHORS}"
+    schema = f"doc long, text_key long, whole struct<key:binary,end:int>, paragraphs {PARAGRAPH}, anchors {ANCHORS}"
     with scratch():
         described = write_table(docs.mapInArrow(_described(least_words, rows, bands), schema), "described")
-        paragraphs = described.select(*ROW, F.explode("paragraphs").alias("p")).select(*ROW, "p.*")
-        marks = described.select(*ROW, F.explode("anchors").alias("hash"))
-        spans = paragraph_spans(docs, paragraphs).unionByName(passage_spans(docs, marks))
+        # whole copies go first: the document that they repeat has all of their paragraphs and passages
+        texts = described.filter("whole is not null").select(*ROW, "whole.key", "whole.end")
+        earlier = texts.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("most")).filter("first != most")
+        copies = texts.join(earlier.select(F.col("key").alias("e_key"), "first"), F.col("key") == F.col("e_key")).filter("doc != first")
+        copies = write_table(copies.select(*ROW, F.lit(0).alias("start"), "end"), "copies")
+        others = described.join(copies.select(*(F.col(k).alias("c_" + k) for k in ROW)), (F.col("doc") == F.col("c_doc")) & (F.col("text_key") == F.col("c_text_key")), "left_anti")
+        paragraphs = others.select(*ROW, F.explode("paragraphs").alias("p")).select(*ROW, "p.*")
+        marks = others.select(*ROW, F.explode("anchors").alias("hash"))
+        spans = copies.unionByName(paragraph_spans(docs, paragraphs)).unionByName(passage_spans(docs, marks))
         spans = spans.groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
         return keep(write_table(spans, "spans"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -371,13 +372,27 @@ def all_repeats(texts):
             for k in sorted(ks)[1:]:
                 out[lines[k][0]].append(lines[k][2:4])
     for doc, text in enumerate(texts):
-        w, start, end = substring_dedup.words_of(text or "")
+        found = list(re.finditer(r"\w+", text or ""))
+        w, start, end = [m.group().lower() for m in found], [m.start() for m in found], [m.end() for m in found]
         for i in range(len(w) - 50):
             if grams.setdefault(tuple(w[i : i + 51]), doc) < doc:
                 out[doc].append((int(start[i]), int(end[i + 50])))
     return {doc: substring_dedup.merged(spans) for doc, spans in out.items()}
 
 
+def test_hashed_words_are_the_words():
+    texts = ["The the THE", "a_b-c\u00e9 \u00c9", "\u0130stanbul x", "\u65e5\u672c \u00bd\u00b2 \U0001f600", " ", "", None, "x" * 5000 + " y", "\u03a3\u03a3 \u03c3\u03c2", " ".join(words(500))]
+    seen = {}
+    for text in texts:
+        hashes, start, end = ngram_join.hashed_words(text)
+        found = list(re.finditer(r"\w+", text or ""))
+        assert [(m.start(), m.end()) for m in found] == list(zip(start.tolist(), end.tolist()))
+        if text is None or len(text.lower()) == len(text):
+            for word, h in zip(ngram_join.normalised(text), hashes.tolist()):
+                assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_substring_dedup_equals_brute_force(spark):
     pool = [words(n) for n in (60, 52, 75, 120, 45, 45, 90)]
     texts = []
