@@ -32,23 +32,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import components
-from .ngram_join import MinHash, candidate_units, class_key, hashed_words, ngram_set, verify
+from .ngram_join import NGRAM, MinHash, candidate_units, class_key, hashed_words, ngram_set, verify
 from .shared import docs_of, fresh, keep, scratch, write_table
 
 LEAST_WORDS = 40
-ROWS, BANDS = 4, 12
+ROWS, BANDS = 3, 9
 ANCHOR, ANCHOR_GAP = 16, 15
 #: A shared run of more than 50 words is a passage.
 PASSAGE = 51
 
+def _joint(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    mixed = (left * np.uint64(0x9E3779B97F4A7C15)) ^ right
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
 def window_hashes(hashes: np.ndarray, size: int = ANCHOR) -> np.ndarray:
-    """Hashes of all windows of `size` words."""
+    """Hashes of all windows of `size` words, put together from windows of powers of two."""
     count = max(0, len(hashes) - size + 1)
-    mixed = np.zeros(count, np.uint64)
-    for k in range(size if count else 0):
-        mixed = (mixed ^ hashes[k : k + count]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return mixed
+    out, at, width, powers = None, 0, 1, hashes
+    while count:
+        if size & width:
+            part = powers[at : at + count]
+            out, at = part if out is None else _joint(out, part), at + width
+        if at == size:
+            return out
+        powers, width = _joint(powers[:-width], powers[width:]), 2 * width
+    return np.zeros(0, np.uint64)
 
 
 def anchors(mixed: np.ndarray, gap: int = ANCHOR_GAP) -> np.ndarray:
@@ -88,6 +98,7 @@ def _described(least_words: int, rows: int, bands: int):
                 for text in part.column(2).to_pylist():
                     text = text or ""
                     hashes, start, _ = hashed_words(text)
+                    grams = window_hashes(hashes, NGRAM)
                     own = []
                     first = 0
                     for number, line in enumerate(text.split("\n")):
@@ -96,7 +107,7 @@ def _described(least_words: int, rows: int, bands: int):
                             lo, hi = np.searchsorted(start, [first, last])
                             if hi - lo >= least_words:
                                 own.append({"line": number, "start": first, "end": last, "key": class_key(hashes[lo:hi])})
-                                sets.append(ngram_set(hashes[lo:hi]))
+                                sets.append(grams[lo : hi - NGRAM + 1])  # minima don't mind repeats
                                 where.append(own[-1])
                         first = last + 1
                     paragraphs.append(own)
