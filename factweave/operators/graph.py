@@ -50,17 +50,20 @@ def explore(relations: DataFrame, seeds: DataFrame, direction: str, depth: int)
     return edges, nodes.withColumn("frontier", F.col("level") == depth)
 
 
-def lineage(contains: DataFrame, most: int = 8) -> DataFrame:
-    """node, ancestor, distance (1 is the parent) by joining the parents' table with itself level by level."""
-    parent = contains.select(F.col("to_ref").alias("node"), F.col("from_ref").alias("ancestor")).distinct()
+def lineage(contains: DataFrame, most: int = 64) -> DataFrame:
+    """node, ancestor, distance (1 is the parent) by joining the parents' table with itself level by level, up to the roots.
+
+    Containment has no cycles; where levels don't end, RuntimeError.
+    """
+    parent = settled(contains.select(F.col("to_ref").alias("node"), F.col("from_ref").alias("ancestor")).distinct())
     up = parent.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-    level, out = parent.withColumn("distance", F.lit(1)), parent.withColumn("distance", F.lit(1))
-    for distance in range(2, most + 1):
+    out = level = parent.withColumn("distance", F.lit(1))
+    for distance in range(2, most + 2):
         level = settled(level.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(distance).alias("distance")))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+    raise RuntimeError("containment has a cycle, or more than 64 levels")
 
 
 def owners(objects: DataFrame, contains: DataFrame, addressable) -> DataFrame:
@@ -82,7 +85,8 @@ def focus(relations: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     weight = lookup(F.col("kind"), FOCUS)
     out = relations.filter("to_ref is not null").select(F.col("from_ref").alias("src"), F.col("to_ref").alias("dst"), weight.alias("weight"))
     edges = out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    edges = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    # written once, so that a hop reads edges instead of deriving them anew
+    edges = settled(edges.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
     now = settled(seeds.select("node").distinct().withColumn("score", F.lit(FOCUS_SEED).cast("long")))
     seen = now
     for distance in range(1, hops + 1):

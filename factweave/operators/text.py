@@ -34,7 +34,7 @@ def line_range(files: DataFrame, first: int, count: int) -> DataFrame:
 def path_status(wanted: DataFrame, files: DataFrame, scope: list[str]) -> DataFrame:
     """path, status of each wanted path: text, not readable, directory, not included, or restricted."""
     known = files.select(F.col("path").alias("f_path"), "entry_state")
-    folders = files.select(F.explode(ancestors(F.regexp_replace("path", "/[^/]*$", ""), 16)).alias("d_path")).distinct()
+    folders = files.select(F.explode(ancestors(F.regexp_replace("path", "/[^/]*$", ""))).alias("d_path")).distinct()
     rows = wanted.join(known, F.col("path") == F.col("f_path"), "left").join(folders, F.col("path") == F.col("d_path"), "left")
     status = (
         F.when(~allowed(F.col("path"), scope), "RESTRICTED").when(F.col("entry_state") == "TEXT", "TEXT_READABLE").when(F.col("f_path").isNotNull(), "KNOWN_NOT_READABLE")
@@ -51,6 +51,9 @@ def listing(files: DataFrame, depth: int) -> DataFrame:
     return steps.groupBy(F.col("entry").alias("path")).agg(F.min(kind).alias("kind"))
 
 
-def entry_state(text, most: int = 20_000):
-    """State of a file's content: TOO_LARGE, NON_TEXT where it holds NUL, NOT_READABLE where null, else TEXT."""
-    return F.when(text.isNull(), "NOT_READABLE").when(F.octet_length(text) > most, "TOO_LARGE").when(F.instr(text, "\u0000") > 0, "NON_TEXT").otherwise("TEXT")
+def entry_state(text, most: int | None = None):
+    """State of a file's content: NOT_READABLE where null, TOO_LARGE beyond `most` bytes (where given), NON_TEXT where it holds NUL, else TEXT."""
+    state = F.when(text.isNull(), "NOT_READABLE")
+    if most is not None:
+        state = state.when(F.octet_length(text) > most, "TOO_LARGE")
+    return state.when(F.instr(text, "\u0000") > 0, "NON_TEXT").otherwise("TEXT")

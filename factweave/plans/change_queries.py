@@ -53,12 +53,12 @@ def existing_tests_changed(spark, sf_dir):
 
 
 @query("replay_closure", """WITH RECURSIVE reads AS (SELECT DISTINCT c_custkey AS context, p_brand || '/' || p_type AS file
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND o_orderpriority = '1-URGENT'),
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
   c(context) AS (SELECT min(context) FROM reads UNION SELECT b.context FROM c JOIN reads a ON a.context = c.context JOIN reads b ON a.file = b.file)
   SELECT context FROM c WHERE context IS NOT NULL""")
 def replay_closure(spark, sf_dir):
-    big = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").join(table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    reads = big.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    reads = items.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     reads = reads.select(F.col("c_custkey").alias("context"), F.concat_ws("/", "p_brand", "p_type").alias("file"))
     return C.replay_closure(reads, reads.agg(F.min("context").alias("context")).filter("context is not null")).select("context")
 
@@ -210,7 +210,7 @@ def parent_version(spark, sf_dir):
 @query("store_publish", facts_sql("SELECT kind, count(*) AS n, count(DISTINCT path) AS paths FROM objects GROUP BY 1"))
 def store_publish(spark, sf_dir):
     """Objects published as a version, checked, and read from there."""
-    folder = ledger.shared_folder(spark, "store")
+    folder = ledger.new_folder(spark, "store")
     held = store.publish(fact_graph(spark, sf_dir).objects, folder, "1")
     return held.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"))
 

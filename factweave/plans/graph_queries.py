@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factweave.functions.paths import allowed, is_test
-from factweave.operators import graph as G
+from factweave.operators import graph as G, views as V
 from factweave.sources.driver_tables import FACTS_SQL, fact_graph, table
 
 QUERIES, ORACLES = {}, {}
@@ -168,23 +168,17 @@ def new_module_edges(spark, sf_dir):
     return G.new_edges(now, rows.filter(F.col("o_orderdate") < F.lit(CUTOFF).cast("timestamp")), ["o_custkey", "b"])
 
 
+#: The base version holds the orders before this date, the working version all.
 CYCLE_DATE = "1995-01-05"
 
 
-@query("new_cycles", f"""WITH RECURSIVE {NATION_CALLS}, e AS (SELECT DISTINCT a, b FROM nc WHERE o_orderdate < TIMESTAMP '{CYCLE_DATE}' AND a <> b),
-  walk AS (SELECT a, b, 1 AS n FROM e UNION SELECT walk.a, e.b, walk.n + 1 FROM walk JOIN e ON walk.b = e.a WHERE walk.n < 4)
-  SELECT DISTINCT e.a, e.b FROM e JOIN walk ON walk.a = e.b AND walk.b = e.a""")
+@query("new_cycles", f"""WITH RECURSIVE {NATION_CALLS}, before AS (SELECT DISTINCT a, b FROM nc WHERE o_orderdate < TIMESTAMP '{CYCLE_DATE}' AND a <> b), now AS (SELECT DISTINCT a, b FROM nc WHERE a <> b),
+  was AS (SELECT a, b FROM before UNION SELECT was.a, before.b FROM was JOIN before ON was.b = before.a), is_ AS (SELECT a, b FROM now UNION SELECT is_.a, now.b FROM is_ JOIN now ON is_.b = now.a)
+  SELECT a, b FROM now WHERE (a, b) NOT IN (SELECT (a, b) FROM before) AND (b, a) IN (SELECT (a, b) FROM is_) AND (b, a) NOT IN (SELECT (a, b) FROM was)""")
 def cycles(spark, sf_dir):
-    """Early dependencies between nations that lie on a cycle of at most five edges."""
-    e = nation_calls(spark, sf_dir).filter((F.col("o_orderdate") < F.lit(CYCLE_DATE).cast("timestamp")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    e = F.broadcast(e)  # 600 pairs of 25 nations at most, at any scale
-    walk = e
-    step = e
-    for _ in range(3):
-        step = step.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
-        walk = walk.unionByName(step).distinct()
-    back = walk.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return e.join(back, ["a", "b"], "left_semi")
+    """Dependencies between nations that the version of all orders has over that of the first days, and that close a new cycle."""
+    rows = nation_calls(spark, sf_dir).select("a", "b", "o_orderdate")
+    return V.on_new_cycles(rows, rows.filter(F.col("o_orderdate") < F.lit(CYCLE_DATE).cast("timestamp")), 25)
 
 
 @query("lineage_of_orders", facts_sql("""SELECT node, ancestor, distance FROM up WHERE node LIKE 'O:%'""", """
@@ -210,11 +204,11 @@ def qualified(spark, sf_dir):
     return chain.join(own, "node").select("node", F.concat_ws(".", F.array_join(F.transform("chain", lambda x: x["name"]), "."), "own").alias("qualified"))
 
 
-@query("scope_members", facts_sql("""SELECT n_path AS scope, 'C:' || c_custkey AS member FROM customers WHERE c_nationkey < 5 UNION ALL SELECT n_path, 'S:' || s_suppkey FROM suppliers JOIN supplier USING (s_suppkey) WHERE supplier.s_nationkey < 5"""))
+@query("scope_members", facts_sql("SELECT n_path AS scope, 'C:' || c_custkey AS member FROM customers UNION ALL SELECT n_path, 'S:' || s_suppkey FROM suppliers"))
 def scope_members(spark, sf_dir):
-    """Addressable members (classes) right below files of the first nations."""
+    """Addressable members (classes) right below files."""
     g = fact_graph(spark, sf_dir)
-    files = g.objects.filter("kind = 'FILE'").filter(F.substring_index("entity_ref", ":", -1).cast("int") < 5).select(F.col("entity_ref").alias("from_ref"), F.col("path").alias("scope"))
+    files = g.objects.filter("kind = 'FILE'").select(F.col("entity_ref").alias("from_ref"), F.col("path").alias("scope"))
     return g.relations.filter("kind = 'CONTAINS'").select("from_ref", F.col("to_ref").alias("member")).join(files, "from_ref").select("scope", "member")
 
 
@@ -295,13 +289,14 @@ def name_only(spark, sf_dir):
     return table(spark, sf_dir, "events").join(part, F.col("p_partkey") == F.col("user_id") + 1).groupBy("event_type", "member").agg(F.count("*").alias("calls"))
 
 
-@query("implemented_contracts", """WITH m AS (SELECT DISTINCT l_suppkey AS t, l_returnflag AS name, l_linestatus AS sig FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 45),
-  c AS (SELECT DISTINCT o_orderpriority AS contract, l_returnflag AS name, l_linestatus AS sig FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < 40),
+@query("implemented_contracts", """WITH m AS (SELECT DISTINCT o_custkey AS t, l_returnflag AS name, l_linestatus AS sig FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  c AS (SELECT DISTINCT p_brand AS contract, l_returnflag AS name, l_linestatus AS sig FROM lineitem JOIN part ON l_partkey = p_partkey),
   cw AS (SELECT *, count(*) OVER (PARTITION BY contract) AS wanted FROM c)
   SELECT t AS type_ref, contract AS contract_ref FROM m JOIN cw USING (name, sig) GROUP BY 1, 2 HAVING count(*) = max(cw.wanted)""")
 def implemented(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem")
-    members = items.filter("l_discount > 0.09 and l_quantity > 45").select(F.col("l_suppkey").alias("type_ref"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("signature"))
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey < 40").select("o_orderkey", F.col("o_orderpriority").alias("contract_ref"))
-    contracts = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("contract_ref", F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("signature"))
+    """Customers whose orders have every kind of line that a brand's parts are ordered in."""
+    items = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_returnflag": "name", "l_linestatus": "signature"})
+    orders, part = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    members = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("type_ref"), "name", "signature")
+    contracts = items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("contract_ref"), "name", "signature")
     return G.divide(members, contracts)

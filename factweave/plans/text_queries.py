@@ -99,7 +99,7 @@ def read_line_range(spark, sf_dir):
     return T.line_range(files(spark, sf_dir), 2, 3)
 
 
-STATE_SQL = "CASE WHEN text IS NULL THEN 'NOT_READABLE' WHEN strlen(text) > 20000 THEN 'TOO_LARGE' WHEN contains(text, chr(0)) THEN 'NON_TEXT' ELSE 'TEXT' END"
+STATE_SQL = "CASE WHEN text IS NULL THEN 'NOT_READABLE' WHEN contains(text, chr(0)) THEN 'NON_TEXT' ELSE 'TEXT' END"
 
 
 @query("path_status", f"""WITH {FILES}, st AS (SELECT path, {STATE_SQL} AS s FROM files), wanted AS (SELECT path FROM files UNION ALL SELECT DISTINCT split_part(path, '/', 1) || '/src1' FROM files UNION ALL SELECT DISTINCT split_part(path, '/', 1) || '/none' FROM files),
@@ -314,7 +314,20 @@ def route_requests(spark, sf_dir):
     return per.join(routes, "request", "left").select("request", "pages", "times", F.coalesce("hit", F.lit(False)).alias("served"))
 
 
-@query("route_fit")
+ROUTE_SQL = f"""WITH links AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/[^"?#]*)', 1)) AS link FROM pages),
+  routes AS (SELECT route, list_filter(string_split(route, '/'), lambda s: s <> '') AS r FROM (SELECT DISTINCT '/api/v1' || link || '/:id' AS route FROM links)),
+  requests AS (SELECT request, list_filter(string_split(request, '/'), lambda s: s <> '') AS q FROM (SELECT DISTINCT link || '/' || (page_id % 5) AS request FROM links)),
+  rp AS (SELECT *, list_transform(r, lambda s: regexp_matches(s, '{R.PARAMETER}') OR regexp_matches(s, '{R.LOOSE_PARAMETER}')) AS rv FROM routes),
+  qp AS (SELECT *, list_transform(q, lambda s: regexp_matches(s, '{R.PARAMETER}') OR regexp_matches(s, '{R.LOOSE_PARAMETER}')) AS qv FROM requests),
+  n AS (SELECT *, least(len(r), len(q)) AS n FROM rp CROSS JOIN qp),
+  f AS (SELECT request, route, len(r) + len(q) - 2 * n AS extras, len(list_filter(rv, lambda v: NOT v)) AS literals FROM n WHERE n > 0
+    AND len(list_filter(range(n), lambda i: NOT (rv[len(r) - i] OR (NOT qv[len(q) - i] AND r[len(r) - i] = q[len(q) - i])))) = 0
+    AND len(list_filter(range(n), lambda i: NOT rv[len(r) - i] AND length(r[len(r) - i]) >= 3)) > 0
+    AND (n >= 2 OR len(list_filter(list_concat(r[:len(r) - n], q[:len(q) - n]), lambda s: NOT regexp_matches(s, '{R.MOUNT}'))) = 0))
+  SELECT request, route, CAST(extras AS INT) AS extras, CAST(literals AS INT) AS literals FROM (SELECT *, rank() OVER (PARTITION BY request ORDER BY extras, literals DESC) AS k FROM f) WHERE k = 1"""
+
+
+@query("route_fit", ROUTE_SQL)
 def route_fit(spark, sf_dir):
     """Closest routes, mounted below /api/v1 with a number for a parameter, of each requested path."""
     pages = table(spark, sf_dir, "pages")

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factweave.functions.lineage import shared_folder
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors can write: below spark.checkpoint.dir, or one of our own where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factweave-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors can write."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def as_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The files of a folder, or one file, as a stream."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
+        # a stream reads folders: the one around the file, and of it only the file
+        name = hadoop.getName()
+        for special in "\\{}[]*?":
+            name = name.replace(special, "\\" + special)
+        return reader.option("pathGlobFilter", name).parquet(hadoop.getParent().toString())
+    return reader.parquet(path)
 
 
 def last_checks(events: DataFrame, check: str = "purchase", edit: str = "click") -> DataFrame:
@@ -29,15 +45,20 @@ def kept_current(spark: SparkSession, path: str) -> DataFrame:
     so that one that runs again after a loss overwrites itself, and the last number of a user counts.
     """
     schema = spark.read.parquet(path).schema
-    out, checkpoint = shared_folder(spark, "ledger"), shared_folder(spark, "ledger-state")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern: a plain path would have to be a folder
+    out, checkpoint = new_folder(spark, "ledger"), new_folder(spark, "ledger-state")
+    stream = as_stream(spark, path, schema)
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     changes = last_checks(stream)
     empty = last_checks(spark.read.schema(schema).parquet(path).limit(0))
-    changes.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    old = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)  # one row a user is kept on disk, not in memory
+    try:
+        changes.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, old)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(out)
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         return empty
