@@ -117,7 +117,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_
         wanted = rows.join(hits.select("digest"), "digest").select(F.col("doc_id").alias("id"), F.col("locator").alias("w_locator"), "digest").distinct()
         texts = df.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).alias("text"), locator(df).alias("t_locator"))
         texts = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("id")) & F.col("t_locator").eqNullSafe(F.col("w_locator"))).select("digest", F.col("t_id").alias("doc_id"), "text")
-        differing = _differing(texts.mapInArrow(_bytes, "digest string, doc_id long, data binary"), hits)
+        # else the distinct stays where a join has dealt rows by digest, a hot one's in one task
+        with setting(spark, "spark.sql.requireAllClusterKeysForDistribution", "true"):
+            differing = _differing(texts.mapInArrow(_bytes, "digest string, doc_id long, data binary"), hits)
         if differing is not None:
             keep(differing)
     plain = rows.join(state.select("digest", "stays_id", "n"), "digest").select(
