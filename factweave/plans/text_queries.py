@@ -299,9 +299,11 @@ def compile_breaks(spark, sf_dir):
   r AS (SELECT id, word, (1 + ln(c)) * ln((n + 1) / (df + 1)) AS raw FROM c JOIN d USING (word), n), v AS (SELECT id, word, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM r WHERE raw > 0)
   SELECT a.id AS left_id, b.id AS right_id, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b ON a.word = b.word AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.15""")
 def similar_documents(spark, sf_dir):
-    words = turns(spark, sf_dir).select(F.col("conv_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))).alias("word"))
-    w = M.weights(words)
-    return M.similar_pairs(w, w, 0.15).filter("left_id < right_id").withColumn("cosine", F.round("cosine", 6))
+    found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))
+    occurrences = turns(spark, sf_dir).agg(F.sum(F.size(found))).first()[0] or 0
+    # a conversation's turns come together before words are counted, so the counts need no shuffle
+    words = turns(spark, sf_dir).select("conv_id", "text").repartition("conv_id").select(F.col("conv_id").alias("id"), F.explode(found).alias("word"))
+    return M.similar_within(M.weights(words), 0.15, occurrences).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("route_requests", f"""WITH r AS (SELECT DISTINCT {ROUTE_SQL} AS route FROM pages), q AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"?#]*)', 1)) AS request FROM pages)

@@ -131,3 +131,92 @@ def test_ledger_of_a_folder_of_files(spark, tmp_path):
     events.repartition(70).write.parquet(f"{tmp_path}/events.parquet")
     got = kept_current(spark, f"file://{tmp_path}/events.parquet")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, last_checks(events).collect()))
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def weighted(spark, seed, count, vocabulary, id_type="long"):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(k, f"w{int(rng.paretovariate(0.5)) % vocabulary}") for k in range(count) for _ in range(rng.randrange(1, 30))]
+    rows = sorted({(i, w): rng.random() + 0.01 for i, w in rows}.items())
+    return spark.createDataFrame([(i, w, x) for (i, w), x in rows], "id long, word string, w double").withColumn("id", F.col("id").cast(id_type))
+
+
+def plain_cosines(left, right):
+    out, norms = {}, [{}, {}]
+    for rows, norm in zip((left, right), norms):
+        for r in rows:
+            norm[r.id] = norm.get(r.id, 0) + r.w * r.w
+    for a in left:
+        for b in right:
+            if a.word == b.word:
+                out[a.id, b.id] = out.get((a.id, b.id), 0) + a.w * b.w / (norms[0][a.id] * norms[1][b.id]) ** 0.5
+    return out
+
+
+@pytest.mark.parametrize("id_type", ["long", "string"])
+def test_similar_rows_equal_plain_sums(spark, id_type):
+    from factweave.operators import similarity as M
+
+    left, right = weighted(spark, 1, 60, 40, id_type), weighted(spark, 2, 45, 60, id_type)
+    a, b = left.collect(), right.collect()
+    nulls = spark.createDataFrame([(None, "w1", 1.0), ("7", None, 1.0)], "id string, word string, w double").withColumn("id", F.col("id").cast(id_type))
+    for got, want in (
+        (M.similar_pairs(left.union(nulls), right, 0.3), plain_cosines(a, b)),
+        (M.similar_pairs(left, left, 0.3), plain_cosines(a, a)),
+        (M.similar_within(left.union(nulls), 0.3), {k: v for k, v in plain_cosines(a, a).items() if k[0] < k[1]}),
+        (M.similar_within(left, 0.3, 30_000_000), {k: v for k, v in plain_cosines(a, a).items() if k[0] < k[1]}),
+        (M.similar_within(left.limit(0), 0.3), {}),
+        (M.similar_pairs(left, right.limit(0), 0.3), {}),
+    ):
+        rows, want = got.collect(), {k: v for k, v in want.items() if v >= 0.3}
+        assert {(r.left_id, r.right_id): pytest.approx(r.cosine) for r in rows} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("cells, products, cost", [(2_000_000, 1_000_000, 40), (100, 7, 40), (100, 7, 1), (5000, 50, 0), (3, 1, 1000)])
+def test_similar_rows_in_steps(monkeypatch, cells, products, cost):
+    import numpy as np
+    import pyarrow as pa
+
+    from factweave.operators import similarity as M
+
+    rng = np.random.default_rng(3)
+    full = [rng.random((n, 30)) * (rng.random((n, 30)) < rng.random(30)) for n in (40, 25)]
+    blocks = []
+    for x, skipped in zip(full, (0, 5)):
+        x[:, 29 - skipped] = 0
+        x[:, 0] = 1
+        words = [k for k in range(30) if x[:, k].any()]
+        parts = [dict(ids=list(range(len(x))) if k == 0 else [], words=[f"w{k}"], counts=np.array([np.count_nonzero(x[:, k])], "<i4").tobytes(), docs=np.flatnonzero(x[:, k]).astype("<i4").tobytes(), w=x[x[:, k] > 0, k].tobytes()) for k in words]
+        kinds = pa.schema([("ids", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("counts", pa.binary()), ("docs", pa.binary()), ("w", pa.binary())])
+        blocks.append(M._Block(pa.Table.from_pylist(parts, kinds)))
+    for name, value in (("CELLS", cells), ("PRODUCTS", products), ("CELLS_A_PRODUCT", cost)):
+        monkeypatch.setattr(M, name, value)
+    one, two = (x / np.sqrt((x * x).sum(1, keepdims=True)) for x in full)
+    want, got = one @ two.T, np.zeros((40, 25))
+    for x, y, cosine in M._hits(*blocks, 0.5):
+        assert not got[x, y].any()
+        got[x, y] = cosine
+    assert np.allclose(got, np.where(want >= 0.5, want, 0))
+
+
+def test_similar_rows_shuffle_postings_not_pairs(spark):
+    from factweave.operators import similarity as M
+
+    words = spark.range(3000).select("id", F.explode(F.array_append(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("common"), k)), F.concat(F.lit("own"), F.expr("id div 2")))).alias("word"))
+    rows = M.weights(words).union(spark.range(1).select((F.col("id") - 1).alias("id"), F.lit("own0").alias("word"), F.lit(1.0).alias("w")))
+    common = words.filter("word like 'common%'").select("id", "word", F.lit(0.01).alias("w"))
+    rows = rows.union(common)
+    before = shuffled_bytes(spark)
+    found = M.similar_pairs(rows, rows, 0.9).filter("left_id < right_id").count()
+    assert found == 1500 + 2
+    used = shuffled_bytes(spark) - before
+    assert used < 8_000_000, used
