@@ -20,7 +20,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language of LANGUAGES; texts without a letter have none. A null `lang` becomes the predicted one."""
+    """Documents in a language of LANGUAGES; texts without a letter have none. `lang` becomes the predicted one, whatever the label was."""
     return language_id.accepted(docs, language_id.fit(docs), LANGUAGES, LEAST_SCORE)
 
 
@@ -44,8 +44,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    return packing.digests(packing.pack(docs))
+    """Pieces of sequences of 2048 tokens; each predicted language of each source is a queue, so all windows have the same mixture of them."""
+    queue = fresh(docs, "queue")
+    return packing.digests(packing.pack(docs.withColumn(queue, F.to_json(F.struct("lang", "source"))), source_col=queue))
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_join", near), ("substring_dedup", passages), ("packing", packed)]

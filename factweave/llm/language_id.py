@@ -186,7 +186,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None, wanted: list[str] | None = None, least_score: float = 0.0) -> DataFrame:
-    """docs whose predicted language is among those wanted (None: any but und), with at least that score; a null lang becomes the prediction."""
+    """docs whose predicted language is among those wanted (None: any but und), with at least that score; lang becomes the prediction."""
     schema = docs.schema
     at, label = schema.names.index("text"), schema.names.index("lang") if "lang" in schema.names else None
 
@@ -198,7 +198,7 @@ def accepted(docs: DataFrame, model: Model | None, wanted: list[str] | None = No
                 right = [k != UNKNOWN and (wanted is None or k in wanted) and s >= least_score for k, s in zip(lang, score)]
                 columns = part.columns
                 if label is not None:
-                    columns[label] = pa.array([old if old is not None else new for old, new in zip(columns[label].to_pylist(), lang)], pa.string())
+                    columns[label] = pa.array(lang, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(right, pa.bool_()))
 
     return docs.mapInArrow(apply, schema)

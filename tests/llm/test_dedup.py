@@ -337,6 +337,30 @@ def test_language_stage_removes_by_language(spark, tmp_path, monkeypatch):
     assert corpus_pipeline.language(spark, docs, str(tmp_path)).count() == 200
 
 
+def test_language_stage_decides_what_packing_mixes(spark, tmp_path):
+    import corpus_pipeline
+
+    german, english = ["der", "die", "und", "nicht", "zwischen", "schon", "über"], ["the", "and", "which", "through", "would", "there", "thing"]
+    right = {k: "de" if k % 4 == 0 else "en" for k in range(160)}
+    labels = {k: ("en" if v == "de" else "de") if k % 32 == 0 or k % 41 == 1 else None if k % 32 == 3 else v for k, v in right.items()}
+    rows = [(k, " ".join(rng.choices(german if v == "de" else english, k=2000)), labels[k], None if k % 5 else "s", 0) for k, v in right.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()} == right
+    pieces = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
+    queues, most = {}, max(r.doc_tokens for r in pieces)
+    for r in pieces:
+        per = queues.setdefault((right[r.doc_id], r.doc_id % 5 == 0), {})
+        window = r.sequence_id // 64
+        per[window] = per.get(window, 0) + r.length
+    total = sum(sum(q.values()) for q in queues.values())
+    assert len(queues) == 4 and total > 2 * 64 * 2048
+    for per in queues.values():
+        share = sum(per.values()) / total * 64 * 2048
+        # a window sends whole documents, and the windows before and after it shift by the same
+        assert all(abs(per.get(k, 0) - share) <= 5 * most // 2 for k in range(total // (64 * 2048)))
+
+
 def test_repeated_and_null_ids(spark):
     passage, one, two = words(60), words(70), words(80)
     texts = [(1, " ".join(one) + "\n" + " ".join(passage)), (2, " ".join(words(20) + passage + words(10))), (2, " ".join(two)), (None, " ".join(two)), (None, None), (None, " ".join(two))]
